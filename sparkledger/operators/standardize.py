@@ -198,8 +198,9 @@ def invoice_profile(texts: DataFrame, column: str = "text") -> DataFrame:
     label = F.regexp_extract(
         compact, "(?:发票类型|票种|开票类型)[：:\t ]?(增值税专用发票|专用发票|专票|增票|增值税普通发票|普通发票|普票)", 1
     )
-    ticked_special = compact.rlike("(?:增值税专用发票|专用发票)")
-    ticked_normal = compact.rlike("(?:增值税普通发票|普通发票)")
+    ticked_special = compact.rlike("专用发票[（(]?[√✓✔]")
+    ticked_normal = compact.rlike("普通发票[（(]?[√✓✔]")
+    names_special = compact.contains("增值税专用发票") & ~compact.contains("普通发票")
     says_special = compact.rlike("(开专票|专票|电子专票|增票)")
     says_normal = compact.rlike("(开普票|普票|普通发票（?√|增值税普通发票（?√)")
     labelled_normal = label.isin("普通发票", "增值税普通发票", "普票")
@@ -212,6 +213,7 @@ def invoice_profile(texts: DataFrame, column: str = "text") -> DataFrame:
         .when(ticked_special & ~ticked_normal, special)
         .when(says_normal & ~says_special, normal)
         .when(says_special & ~says_normal, special)
+        .when(names_special, special)
         .otherwise(normal)
     )
     has_all = (

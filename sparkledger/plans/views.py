@@ -162,7 +162,7 @@ UNION ALL
 SELECT concat('1', lpad(cast(n_regionkey + 1 AS string), 2, '0'), lpad(cast(n_nationkey + 1 AS string), 2, '0'), '99000000000000'),
   concat('其他', n_name), concat('类', n_name), '' FROM nation WHERE n_regionkey IN (0, 2, 4)
 UNION ALL
-SELECT concat('1', lpad(cast(n_regionkey + 1 AS string), 2, '0'), lpad(cast(n_nationkey + 1 AS string), 2, '0'), lpad(cast(first_part AS string), 10, '0'), '0000'),
+SELECT concat('1', lpad(cast(n_regionkey + 1 AS string), 2, '0'), lpad(cast(n_nationkey + 1 AS string), 2, '0'), lpad(cast(first_part + 1 AS string), 10, '0'), '0000'),
   p_name, category, concat('made by ', n_name, ': ', p_name)
 FROM (SELECT p_name, min(p_partkey) AS first_part, min(p_type) AS category FROM part GROUP BY p_name) names
 JOIN nation ON n_nationkey = first_part % 25
