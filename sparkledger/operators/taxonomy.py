@@ -140,34 +140,46 @@ def match_entries(queries: DataFrame, taxonomy: DataFrame, short_equal: int, pos
     return union.groupBy("q").agg(F.min_by(F.struct(*ENTRY, "score"), F.struct(-F.col("score"), "pos")).alias("m")).select("q", "m.*")
 
 
-def resolve_codes(lines: DataFrame, taxonomy: DataFrame, sheet: bool = False, pos: str = "official_code") -> DataFrame:
+def resolve_codes(
+    lines: DataFrame, taxonomy: DataFrame, sheet: bool = False, pos: str = "official_code",
+    categories: DataFrame | None = None, names: DataFrame | None = None,
+) -> DataFrame:
     """Adds ``resolved_code`` and ``resolved_short``: by category, else by item name, promoted to a leaf.
 
     Lines with a code keep it; the sheet form also promotes that code and takes its short name.
+    ``categories`` and ``names`` (column ``v``) may list the values to match, where a caller knows them
+    without running the plan behind ``lines`` once more.
     """
+    code = T.strip("tax_code")
     category, name = T.alias_key("tax_category"), T.alias_key("project_name")
-    base = lines.select(
-        "*", category.alias("_cq"), F.when(~T.is_uncoded_name("project_name") | (category != ""), name).otherwise("").alias("_nq"), T.strip("tax_code").alias("_code")
-    )
-    open_lines = base.filter(F.col("_code") == "")
-    by_category = match_entries(open_lines.select(F.col("_cq").alias("q")), taxonomy, 120, pos)
-    by_name = match_entries(open_lines.select(F.col("_nq").alias("q")), taxonomy, 105, pos)
-    hierarchy = code_hierarchy(taxonomy).select("official_code", "leaf_code")
     shorts = skew.first_by(taxonomy.select("official_code", "category_short_name"), ["official_code"], ["category_short_name"])
-    leaf = hierarchy.join(shorts.select(F.col("official_code").alias("leaf_code"), F.col("category_short_name").alias("leaf_short")), "leaf_code", "left")
-    c = by_category.select(F.col("q").alias("_cq"), F.col("official_code").alias("_c1"))
-    n = by_name.select(F.col("q").alias("_nq"), F.col("official_code").alias("_c2"))
-    given = F.when(F.col("_code") != "", F.col("_code") if sheet else F.lit(None))
-    found = base.join(c, "_cq", "left").join(n, "_nq", "left").withColumn(
-        "official_code", F.when(F.col("_code") == "", F.coalesce("_c1", "_c2")).otherwise(given)
+    leaf = code_hierarchy(taxonomy).select("official_code", "leaf_code").join(
+        shorts.select(F.col("official_code").alias("leaf_code"), F.col("category_short_name").alias("leaf_short")), "leaf_code", "left"
+    ).select("official_code", F.struct("leaf_code", "leaf_short").alias("leaf"))
+
+    def values(given: DataFrame | None, column: str) -> DataFrame:
+        return (lines.select(F.col(column).alias("v")) if given is None else given).select(T.alias_key("v").alias("q"))
+
+    def dimension(given: DataFrame | None, column: str, short_equal: int, key: str, out: str) -> DataFrame:
+        found = match_entries(values(given, column), taxonomy, short_equal, pos)
+        return found.join(leaf, "official_code").select(F.col("q").alias(key), F.col("leaf").alias(out))
+
+    base = lines.withColumns({"_cq": category, "_nq": name})
+    found = base.join(dimension(categories, "tax_category", 120, "_cq", "_by_category"), "_cq", "left").join(
+        dimension(names, "project_name", 105, "_nq", "_by_name"), "_nq", "left"
     )
-    out = found.join(leaf, "official_code", "left")
+    if sheet:
+        found = found.withColumn("_given", code).join(leaf.select(F.col("official_code").alias("_given"), F.col("leaf").alias("_own")), "_given", "left")
+    else:
+        found = found.withColumn("_own", F.lit(None).cast("struct<leaf_code:string,leaf_short:string>"))
+    # A general name is not looked up on its own, only next to a category.
+    allowed = F.when((F.col("_cq") != "") | ~T.is_uncoded_name("project_name"), F.col("_by_name"))
+    best = F.coalesce("_by_category", allowed)
     own_short = T.or_none("tax_category")
-    short = F.when(F.col("_code") != "", F.coalesce(own_short, "leaf_short") if sheet else own_short).otherwise(F.coalesce(F.col("leaf_short"), own_short))
-    return out.select(
+    return found.withColumn("_best", best).select(
         *lines.columns,
-        F.coalesce(F.when(F.col("_code") != "", F.coalesce(F.col("leaf_code"), "_code") if sheet else F.col("_code")).otherwise(F.col("leaf_code")), F.lit("")).alias("resolved_code"),
-        F.coalesce(short, F.lit("")).alias("resolved_short"),
+        F.when(code != "", F.coalesce("_own.leaf_code", code)).otherwise(F.coalesce("_best.leaf_code", F.lit(""))).alias("resolved_code"),
+        F.coalesce(F.when(code != "", F.coalesce(own_short, "_own.leaf_short")).otherwise(F.coalesce("_best.leaf_short", own_short)), F.lit("")).alias("resolved_short"),
     )
 
 
