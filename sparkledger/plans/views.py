@@ -214,6 +214,17 @@ FROM (
 ) typed
 """
 
+# Rejected lines of the import: the wording depends on the line.
+VIEWS["failures"] = """
+SELECT draft_id, line_no AS pos, draft_id AS serial_no,
+  CASE tax_rate WHEN '13%' THEN concat('2-发票明细信息：第 ', cast(line_no + 3 AS string), ' 行税率不合法，请使用如下税率：0.03、0.01、0。')
+    WHEN '' THEN concat('第', cast(line_no + 3 AS string), '行商品编码为汇总商品，请使用具体商编')
+    WHEN '免税' THEN '1-发票基本信息：购买方名称不能为空' WHEN '3％' THEN '单位码值不正确'
+    WHEN '6' THEN '编码 1010101000000000000 不允许填写' WHEN '1%' THEN concat('第 ', cast(line_no + 3 AS string), ' 行税率不合法，请使用如下税率：9%、6')
+    ELSE CASE WHEN specification = 'Brand#1' THEN '不属于涉税专业服务机构，不能开具' ELSE '某字段格式不正确' END END AS reason
+FROM dlines WHERE unit = '箱'
+"""
+
 
 def _words(text: str) -> set[str]:
     return set(re.findall(r"[a-z_]+", text))
