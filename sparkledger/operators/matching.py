@@ -143,9 +143,10 @@ def match_reissues(requests: DataFrame, invoices: DataFrame) -> DataFrame:
     targets = original.select("request_id", "company_name", F.col("o.invoice_no").alias("original_no"), F.col("o.buyer").alias("buyer"), F.posexplode("amounts").alias("pos", "amount"))
     # Alike invoices compete only by date; two are kept because the newest may be the original itself.
     pool = skew.top_n(inv.filter("is_positive"), ["buyer_name", "total", "seller_name"], [F.desc("issued_at"), F.col("invoice_no")], 2)
-    found = targets.join(pool, (F.col("total") == F.col("amount")) & ((F.col("buyer") == "") | (F.col("buyer_name") == F.col("buyer")))).filter(
-        (F.col("invoice_no") != F.col("original_no")) & _either_way(F.col("company_name"), F.col("seller_name"))
-    )
+    by_buyer = targets.filter(F.col("buyer") != "").join(pool, (F.col("total") == F.col("amount")) & (F.col("buyer_name") == F.col("buyer")))
+    anyone = skew.top_n(inv.filter("is_positive"), ["total", "seller_name"], [F.desc("issued_at"), F.col("invoice_no")], 2)
+    by_total = targets.filter(F.col("buyer") == "").join(anyone, F.col("total") == F.col("amount"))
+    found = by_buyer.unionByName(by_total).filter((F.col("invoice_no") != F.col("original_no")) & _either_way(F.col("company_name"), F.col("seller_name")))
     best = found.groupBy("request_id", "pos").agg(F.min_by("invoice_no", F.struct(F.expr("-unix_timestamp(cast(issued_at as timestamp))"), "invoice_no")).alias("invoice_no"))
     out = targets.join(best, ["request_id", "pos"], "left")
     full = out.groupBy("request_id").agg(F.bool_and(F.col("invoice_no").isNotNull()).alias("matched_all"))
@@ -159,26 +160,28 @@ def split_by_targets(lines: DataFrame, targets: DataFrame, most: int = MOST_TARG
     target takes all lines. Otherwise every target needs a run, or the invoice gives no rows; a target
     never met takes what is left. Works on running sums, one join per target, never on whole invoices.
     """
-    n = targets.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("n_targets"))
-    work = lines.join(n, "invoice_no", "left_semi").select("invoice_no", "line_no", F.coalesce(F.abs("amount"), F.lit(0)).cast("decimal(28,2)").alias("a"))
-    run = skew.chunked_running_sum(work, ["invoice_no"], "line_no", F.col("a"), "run", size).select("invoice_no", "line_no", "run")
-    last = run.groupBy("invoice_no").agg(F.max("line_no").alias("last_no"))
-    state = last.join(n, "invoice_no").select("invoice_no", "n_targets", "last_no", F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("decimal(38,2)").alias("base"))
+    wanted = targets.groupBy("invoice_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("target_pos", "target"))), lambda t: t["target"]).alias("targets"))
+    work = lines.join(wanted, "invoice_no", "left_semi").select("invoice_no", "line_no", F.coalesce(F.abs("amount"), F.lit(0)).cast("decimal(28,2)").alias("a"))
+    run = skew.chunked_running_sum(work, ["invoice_no"], "line_no", F.col("a"), "run", size).select("invoice_no", "line_no", F.col("run").cast("decimal(38,2)").alias("run"))
+    ends = F.array().cast("array<bigint>")
+    state = wanted.select("invoice_no", F.struct("targets", F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("decimal(38,2)").alias("base"), ends.alias("ends"), F.lit(None).cast("bigint").alias("last_no")).alias("s"))
     for k in range(most):
-        wanted = state.join(targets.filter(F.col("target_pos") == k).select("invoice_no", "target"), "invoice_no", "left").select("invoice_no", "at", "base", "target")
-        met = run.join(wanted, "invoice_no").filter((F.col("line_no") > F.col("at")) & (F.abs(F.col("run") - F.col("base") - F.col("target")) <= 0.01))
-        end = met.groupBy("invoice_no").agg(F.min(F.struct("line_no", "run")).alias("e"))
-        joined = state.join(end, "invoice_no", "left")
-        open_run = (F.col("n_targets") > k) & (F.col("at") < F.col("last_no"))
-        state = joined.select(
-            "invoice_no", "n_targets", "last_no",
-            F.when(open_run, F.coalesce("e.line_no", "last_no")).otherwise(F.col("at")).alias("at"),
-            F.when(open_run, F.coalesce(F.col("e.run"), F.col("base"))).otherwise(F.col("base")).cast("decimal(38,2)").alias("base"),
-            *[c for c in state.columns if c.startswith("end_")],
-            F.when(open_run, F.coalesce("e.line_no", "last_no")).alias(f"end_{k}"),
+        target = F.try_element_at(F.col("s.targets"), F.lit(k + 1))
+        meets = (F.col("line_no") > F.col("s.at")) & (F.abs(F.col("run") - F.col("s.base") - target) <= 0.01)
+        step = run.join(state, "invoice_no").groupBy("invoice_no").agg(
+            F.first("s").alias("s"), F.min(F.when(meets, F.struct("line_no", "run"))).alias("e"), F.max("line_no").alias("last_no")
+        )
+        open_run = (F.size("s.targets") > k) & (F.col("s.at") < F.col("last_no"))
+        at = F.when(open_run, F.coalesce("e.line_no", "last_no")).otherwise(F.col("s.at"))
+        state = step.select(
+            "invoice_no",
+            F.struct(
+                F.col("s.targets").alias("targets"), at.alias("at"), F.when(open_run, F.coalesce("e.run", "s.base")).otherwise(F.col("s.base")).cast("decimal(38,2)").alias("base"),
+                F.when(open_run, F.array_append("s.ends", at)).otherwise(F.col("s.ends")).alias("ends"), F.col("last_no").cast("bigint").alias("last_no"),
+            ).alias("s"),
         )
-    ends = F.array_compact(F.array(*[F.col(f"end_{k}") for k in range(most)]))
-    cut = state.select("invoice_no", "n_targets", ends.alias("ends")).filter((F.col("n_targets") == 1) | (F.size("ends") == F.col("n_targets")))
+    n_targets = F.size("s.targets")
+    cut = state.filter((n_targets == 1) | (F.size("s.ends") == n_targets)).select("invoice_no", n_targets.alias("n_targets"), F.col("s.ends").alias("ends"))
     placed = lines.join(cut, "invoice_no")
     group = F.when(F.col("n_targets") == 1, 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("line_no"))))
     return placed.withColumn("group_no", group).filter(F.col("group_no") < F.col("n_targets")).select(*lines.columns, "group_no")

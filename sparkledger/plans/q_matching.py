@@ -54,7 +54,7 @@ REISSUE_SQL = """SELECT cast(o_orderkey AS string) AS request_id, concat('seller
 t AS (SELECT lpad(cast(o_orderkey AS varchar), 20, '0') AS original_no, cast(o_orderkey AS varchar) AS request_id, c_name AS buyer, unnest(CASE o_orderstatus WHEN 'F' THEN [cast(floor(o_totalprice / 50000) * 50000 + 50000 AS int)] ELSE [50000, 100000] END) AS amount,
   unnest(CASE o_orderstatus WHEN 'F' THEN [0] ELSE [0, 1] END) AS pos FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT t.*, i.invoice_no, row_number() OVER (PARTITION BY request_id, pos ORDER BY issued_at DESC, i.invoice_no) AS rn FROM t LEFT JOIN i ON i.buyer_name = buyer AND total_amount = amount AND is_positive AND i.invoice_no <> original_no)
-SELECT request_id, original_no, pos, amount, invoice_no, bool_and(invoice_no IS NOT NULL) OVER (PARTITION BY request_id) AS matched_all FROM m WHERE rn = 1""")
+SELECT request_id, original_no, pos, cast(amount AS decimal(28,2)) AS amount, invoice_no, bool_and(invoice_no IS NOT NULL) OVER (PARTITION BY request_id) AS matched_all FROM m WHERE rn = 1""")
 def _(spark, sf):
     invoices = _sql(spark, sf, INVOICES_SQL, "orders", "customer").withColumn("invoice_no", F.lpad("invoice_no", 20, "0"))
     return matching.match_reissues(matching.reissue_requests(spark.sql(REISSUE_SQL)), invoices)

@@ -17,10 +17,10 @@ from sparkledger.plans.views import TABLES  # noqa: E402
 
 
 def plain(value):
-    if isinstance(value, decimal.Decimal):
+    if isinstance(value, bool):
+        return value
+    if isinstance(value, (decimal.Decimal, float, int)):
         return round(float(value), 6)
-    if isinstance(value, float):
-        return round(value, 6)
     if isinstance(value, (datetime.datetime, datetime.date)):
         return str(value)
     if isinstance(value, (list, tuple)):
