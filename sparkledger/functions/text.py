@@ -211,12 +211,12 @@ STATED_RATES = (
 )
 
 
-def stated_rate(value: Column | str) -> Column:
-    """Rate a request text states, '' when it states none."""
-    text = compact_key(value)
-    out = None
+def stated_rate(value: Column | str, compact: bool = False) -> Column:
+    """Rate a request text states, '' when it states none; ``compact`` says the text is a compact key already."""
+    text = _c(value) if compact else compact_key(value)
+    out = F.when(~text.rlike("[%点税免]"), "")
     for rate, pattern in STATED_RATES:
-        out = F.when(text.rlike(pattern), rate) if out is None else out.when(text.rlike(pattern), rate)
+        out = out.when(text.rlike(pattern), rate)
     return out.otherwise("")
 
 
