@@ -218,19 +218,22 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
     """Nine phases per case: worst state (the later of equals), last time, actions, capabilities, model use."""
     by = list(keys)
     o = observations(events)
-    upload = o.filter(F.col("file_count") > 0).select(
-        *by, "seq", "created_at", F.lit("input").alias("phase"), F.lit("上传客户材料").alias("action"), F.lit("ok").alias("status"), F.lit(0).alias("sub"),
-        F.array().cast("array<string>").alias("capabilities"), F.lit(False).alias("own"), "llm_attempted", "llm_success", "llm_failed", "llm_provider", "llm_tasks",
-    )
-    parsed = o.filter(F.arrays_overlap("capabilities", F.array(*[F.lit(c) for c in PARSE_CAPABILITIES]))).select(
-        *by, "seq", "created_at", F.lit("parse").alias("phase"), F.lit("解析上传材料").alias("action"), F.lit("ok").alias("status"), F.lit(1).alias("sub"),
-        "capabilities", F.lit(False).alias("own"), "llm_attempted", "llm_success", "llm_failed", "llm_provider", "llm_tasks",
-    )
-    own = o.select(
-        *by, "seq", "created_at", "phase", "action", "status", F.lit(2).alias("sub"), "capabilities", F.lit(True).alias("own"),
-        "llm_attempted", "llm_success", "llm_failed", "llm_provider", "llm_tasks",
+    none = F.array().cast("array<string>")
+
+    def part(phase, action, status, sub, capabilities, tasks):
+        return F.struct(phase.alias("phase"), action.alias("action"), status.alias("status"), F.lit(sub).alias("sub"), capabilities.alias("caps"), tasks.alias("tasks"))
+
+    # An event reports on its own phase, and on input and parsing when it shows files or parser use.
+    reads = F.arrays_overlap("capabilities", F.array(*[F.lit(c) for c in PARSE_CAPABILITIES]))
+    reports = F.array_compact(
+        F.array(
+            F.when(F.col("file_count") > 0, part(F.lit("input"), F.lit("上传客户材料"), F.lit("ok"), 0, none, none)),
+            F.when(reads, part(F.lit("parse"), F.lit("解析上传材料"), F.lit("ok"), 1, F.col("capabilities"), none)),
+            part(F.col("phase"), F.col("action"), F.col("status"), 2, F.col("capabilities"), F.col("llm_tasks")),
+        )
     )
-    parts = upload.unionByName(parsed).unionByName(own)
+    shown = o.select(*by, "seq", "created_at", "llm_attempted", "llm_success", "llm_failed", "llm_provider", F.explode(reports).alias("r"))
+    parts = shown.select(*by, "seq", "created_at", "llm_attempted", "llm_success", "llm_failed", "llm_provider", "r.*").withColumn("own", F.col("sub") == 2)
     group = [*by, "phase"]
     severity = F.coalesce(_map(SEVERITY, F.col("status")), F.lit(1))
     at = F.struct("seq", "sub")
@@ -244,13 +247,15 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
         F.coalesce(F.min_by(provider, F.when(provider.isNotNull(), F.col("seq"))), F.lit("")).alias("llm_provider"),
         F.count_if(F.col("own") & F.col("status").isin("warning", "blocked", "failed", "no_change")).alias("detail_count"),
     )
-    capabilities = parts.select(*group, "seq", "sub", F.posexplode("capabilities").alias("at", "capability"))
-    tasks = own.select(*group, "seq", "sub", F.posexplode("llm_tasks").alias("at", "task"))
-    joined = (
-        base.join(_ordered_distinct(parts, group, "action", ["seq", "sub"], 20, "actions"), group, "left")
-        .join(_ordered_distinct(capabilities, group, "capability", ["seq", "sub", "at"], 8, "capabilities"), group, "left")
-        .join(_ordered_distinct(tasks, group, "task", ["seq", "sub", "at"], 6, "llm_tasks"), group, "left")
-    )
+    # Actions, capabilities and tasks go through one pass: first sight of each value, then the first few per kind.
+    fact = lambda kind, values: F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("at")))
+    facts = parts.select(*group, "seq", "sub", F.explode(F.concat(fact("a", F.array("action")), fact("c", F.col("caps")), fact("t", F.col("tasks")))).alias("f"))
+    facts = facts.select(*group, "seq", "sub", "f.*").filter(~T.is_blank("value"))
+    first = facts.groupBy(*group, "kind", "value").agg(F.min(F.struct("seq", "sub", "at")).alias("_at"))
+    few = skew.top_n(first, [*group, "kind"], [F.asc("_at")], 20, "_n").filter((F.col("kind") == "a") | ((F.col("kind") == "c") & (F.col("_n") <= 8)) | ((F.col("kind") == "t") & (F.col("_n") <= 6)))
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_at", "value")))), lambda x: x["value"])
+    lists = few.groupBy(*group).agg(listed("a").alias("actions"), listed("c").alias("capabilities"), listed("t").alias("llm_tasks"))
+    joined = base.join(lists, group, "left")
     phases = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(p).alias("phase"), F.lit(label).alias("label")) for i, (p, label) in enumerate(PHASES)])
     frame = events.select(*by).distinct().select(*by, F.explode(phases).alias("s")).select(*by, "s.*")
     empty = F.array().cast("array<string>")
