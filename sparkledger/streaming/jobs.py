@@ -179,7 +179,8 @@ def new_files(files: DataFrame, manifest: DataFrame | None) -> DataFrame:
 
 def file_intake(spark: SparkSession, inbox: str, manifest: str, checkpoint: str) -> StreamingQuery:
     """Watches a folder and logs each new file with its status; content seen before is a duplicate."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(inbox)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(inbox)
 
     def write(batch: DataFrame, number: int) -> None:
         _put(new_files(src.file_inventory(batch, inbox), _stored(batch.sparkSession, manifest, number)), manifest, number)
