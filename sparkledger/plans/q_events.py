@@ -228,3 +228,15 @@ def _(spark, sf):
     e = ev.parse_payload(ev.draft_events(view(spark, sf, "drafts"), view(spark, sf, "dlines"), "draft_created", F.col("created_at")))
     return e.select("draft_id", "case_id", "batch_id", "event_type", F.col("p.company_name").alias("company_name"), F.col("p.buyer.name").alias("buyer_name"),
                     F.greatest(F.coalesce(F.size("p.lines"), F.lit(0)), F.lit(0)).alias("lines"), F.coalesce(F.try_element_at("p.lines", F.lit(1))["project_name"], F.lit("")).alias("first_name"))
+
+
+LOG_SQL = """SELECT concat('{"event_id":"', event_id, '","case_id":"', case_id, '","draft_id":"', draft_id, '","batch_id":"', batch_id, '","event_type":"', event_type, '","created_at":"', created_at, '","payload":', payload, '}') AS value FROM cev"""
+
+
+@query("read_case_events", "SELECT event_id, case_id, event_type, created_at, json_extract_string(payload, '$.run_id') AS run_id FROM cev")
+def _(spark, sf):
+    from ..sources.tables import event_rows
+
+    view(spark, sf, "cev").createOrReplaceTempView("cev")
+    e = ev.parse_payload(event_rows(spark.sql(LOG_SQL)))
+    return e.select("event_id", "case_id", "event_type", "created_at", F.col("p.run_id").alias("run_id"))

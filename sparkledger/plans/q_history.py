@@ -84,8 +84,8 @@ def _(spark, sf):
 
 
 # Item names as buyers ask for them: known ones, a part of them, a longer form, a weak one.
-ASK_SQL = """SELECT s_name AS scope, name, '' AS text_id FROM supplier JOIN (SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION ALL SELECT DISTINCT concat('best ', p_name) FROM part
-  UNION ALL SELECT DISTINCT concat(p_type, ' 服务') FROM part UNION ALL SELECT '服务费' FROM region) n ON n.name <> ''"""
+ASK_SQL = """SELECT DISTINCT s_name AS scope, CASE l_linenumber WHEN 1 THEN p_name WHEN 2 THEN split_part(p_name, ' ', 2) WHEN 3 THEN concat('best ', p_name) WHEN 4 THEN concat(p_type, ' 服务') ELSE '服务费' END AS name, '' AS text_id
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
 FUZZY_SQL = """rk AS (SELECT *, least(row_number() OVER (PARTITION BY seller_name ORDER BY line_key) - 1, 20) AS rank FROM trusted),
 it AS (SELECT seller_name AS scope, project_name AS item, upper(replace(project_name, ' ', '')) AS p, count(*) AS freq, arg_min(tax_code, (-(rank // 5), line_key)) AS tax_code, arg_min(tax_rate, (-(rank // 5), line_key)) AS tax_rate,
     min((-(rank // 5), line_key)) AS o, max(rank // 5) AS idx FROM rk GROUP BY ALL),
@@ -97,7 +97,7 @@ fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER
 
 @query("fuzzy_history", f"WITH ask AS ({ASK_SQL}), {FUZZY_SQL.replace('o[2]', 'struct_extract_at(o, 2)')} SELECT scope, key, item AS project_name, tax_code, tax_rate, score FROM fz")
 def _(spark, sf):
-    for t in ("supplier", "part", "region"):
+    for t in ("supplier", "part", "lineitem"):
         table(spark, sf, t).createOrReplaceTempView(t)
     rows = history.ranked_rows(_rows(spark, sf), ["pos"])
     asks = spark.sql(ASK_SQL).select("scope", T.compact_key("name").alias("key"), "text_id")

@@ -60,3 +60,9 @@ def _(spark, sf):
 @query("new_files")
 def _(spark, sf):
     return jobs.new_files(src.read_file_inventory(spark, sf), None)
+
+
+@query("case_states", "SELECT tenant, case_id, count(*) AS event_count, arg_max(event_type, seq) AS last_event_type, bool_or(event_type = 'success_recorded') AS assistant_confirmed FROM cev GROUP BY ALL")
+def _(spark, sf):
+    # The running aggregate of the stream, over everything that arrived so far.
+    return jobs.case_states(view(spark, sf, "cev")).select("tenant", "case_id", "event_count", "last_event_type", "assistant_confirmed")

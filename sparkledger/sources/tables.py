@@ -199,9 +199,16 @@ EVENT_SCHEMA = St.StructType(
 )
 
 
+def event_rows(lines: DataFrame) -> DataFrame:
+    """JSON lines (column ``value``) to events; blank and unreadable lines are dropped."""
+    parsed = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"})
+    rows = lines.filter(~T.is_blank("value")).select(parsed.alias("e")).select("e.*")
+    return rows.filter(F.coalesce(*[F.col(c) for c in EVENT_SCHEMA.names]).isNotNull())
+
+
 def read_case_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines event logs; the payload stays JSON text, unreadable lines are dropped."""
-    return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    """Event logs of a folder, one file per case or many; the payload stays JSON text."""
+    return event_rows(spark.read.option("recursiveFileLookup", True).text(path))
 
 
 def write_case_events(events: DataFrame, path: str) -> None:
