@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 100_000
 TEXT_SPAN = 512
+# So many keys are also tried inside the row, before anything is joined; more keys meet in the join alone.
+FEW_KEYS = 512
 
 
 def _names(df: DataFrame, keys) -> list[str]:
@@ -125,14 +127,18 @@ def contained_in(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key
     """
     wanted = keys.select(F.col(key).alias("_key")).filter(F.col("_key") != "").distinct()
     lengths = key_lengths(wanted, "_key")
-    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"), lengths.alias("_lengths"))
+    few = wanted.limit(FEW_KEYS + 1).agg(F.collect_set("_key")).scalar()
+    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"), lengths.alias("_lengths"), few.alias("_few"))
     if long_text:
         longest = F.coalesce(F.array_max("_lengths"), F.lit(1))
         starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(TEXT_SPAN))
-        base = base.select("_id", F.explode(starts).alias("_at"), "_text", "_lengths").select(
-            "_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN) + longest - 1).alias("_text"), "_lengths"
+        base = base.select("_id", F.explode(starts).alias("_at"), "_text", "_lengths", "_few").select(
+            "_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN) + longest - 1).alias("_text"), "_lengths", "_few"
         )
-    grams = base.select("_id", F.explode(substrings(F.col("_text"), F.col("_lengths"))).alias("_key"))
+    parts = substrings(F.col("_text"), F.col("_lengths"))
+    whole = F.col("_text")
+    tried = F.when(F.size("_few") <= FEW_KEYS, F.filter("_few", lambda k: whole.contains(k))).otherwise(parts)
+    grams = base.select("_id", F.explode(tried).alias("_key"))
     hits = grams.join(wanted, "_key", "left_semi")
     if long_text:
         hits = hits.distinct()

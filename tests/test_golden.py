@@ -175,7 +175,9 @@ def test_skewed_windows_equal_plain_ones(spark):
     assert {p: (sums[p], filled[p]) for p in want} == want
 
 
-def test_contained_in_against_brute_force(spark):
+@pytest.mark.parametrize("few", [512, 5])
+def test_contained_in_against_brute_force(spark, few, monkeypatch):
+    monkeypatch.setattr(skew, "FEW_KEYS", few)
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abc有限") for _ in range(n))
     texts = [(i, word(rng.randrange(0, 1500))) for i in range(12)]
