@@ -15,7 +15,7 @@ from sparkledger.session import build_session  # noqa: E402
 HEADLINE = (
     "tax_totals", "trusted_history", "dedupe_history", "seller_profiles", "project_profiles", "buyer_profiles", "draft_totals", "match_rules", "suggest_taxonomy",
     "code_lines", "apply_history", "validate_sheets", "repair_report", "diff_drafts", "case_summary", "workflow_steps", "rule_candidates", "match_requests",
-    "extract_lines", "extract_buyers", "table_to_lines",
+    "extract_buyers", "table_to_lines",
 )
 
 

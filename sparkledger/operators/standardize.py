@@ -24,10 +24,10 @@ def sheet_rates(lines: DataFrame) -> DataFrame:
 
 def tax_preview(lines: DataFrame) -> DataFrame:
     """Tax inside each tax-inclusive line, rounded half up to cents; null without amount or rate."""
-    rate = T.rate_number(T.canonical_rate("tax_rate"))
-    return standardize_lines(lines).withColumn(
-        "tax_amount", F.round(F.col("amount") - F.col("amount") / (1 + rate), 2).cast("decimal(18,2)")
-    )
+    # One projection per step: the rate text is read once, not once per use.
+    rated = standardize_lines(lines).withColumn("_text", T.canonical_rate("tax_rate")).withColumn("_rate", T.rate_number("_text"))
+    tax = F.round(F.col("amount") - F.col("amount") / (1 + F.col("_rate")), 2).cast("decimal(18,2)")
+    return rated.withColumn("tax_amount", tax).drop("_text", "_rate")
 
 
 def tax_totals(lines: DataFrame) -> DataFrame:
