@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import ship_package
+
 END = "</w>"
 # The special strings' ids are in the file; the pattern is the one the vocabulary was made with.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -169,6 +171,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, ", ".join(fields + (["ids array<int>"] if tokens else [])))
 
 
@@ -182,4 +185,5 @@ def decode_tokens(df: DataFrame, path: str, ids_col: str = "ids", out: str = "de
         own = encoder(path)
         return pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], pa.string())
 
+    ship_package(df.sparkSession)
     return df.withColumn(out, decoded(F.col(ids_col)))

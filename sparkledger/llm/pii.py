@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import ship_package
+
 # Kinds in the order of the lists, and the patterns of the four base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "national")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -167,4 +169,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [batch.column(0), *(pa.array(n, pa.int64()) for n in numbers), pa.array(shas, pa.string()), pa.array(lists, pa.string()), pa.array(spans, pa.list_(SPAN))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *counts, "base_sha256", "spans", "pii"])
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, mixing, pii, secrets
+from . import bpe, fingerprints, host_rules, lang_kernel, line_dedup, mixing, pii, quality_fm, secrets
 from .shared import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,14 @@ def op3(spark, sf_dir):
     return pii.find_pii(documents(spark, sf_dir)).drop("pii")
 
 
+@query("op4_quality")
+def op4(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    machine = quality_fm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_fm.score_documents(docs, machine)
+    return scored.select("doc_id", quality_fm.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op5_secrets")
 def op5(spark, sf_dir):
     found = secrets.scan_secrets(documents(spark, sf_dir), repository=F.concat_ws("/", "source", "lang"))
@@ -104,6 +112,19 @@ def op6(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_language")
+def op7(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = lang_kernel.identify(docs, lang_kernel.learn(docs))
+    return found.select("doc_id", lang_kernel.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_host_rules")
+def op8(spark, sf_dir):
+    judged = host_rules.judge_documents(documents(spark, sf_dir))
+    return judged.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
+
+
 @query("op9_bpe")
 def op9(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary_path(), tokens=False)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,17 @@ def text_or_empty(name: str = "text") -> Column:
 def bound(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_has_sparkledger", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="package-")) / "sparkledger.zip"
+    with zipfile.ZipFile(path, "w") as bundle:
+        for file in sorted(package.rglob("*.py")):
+            bundle.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._has_sparkledger = True
