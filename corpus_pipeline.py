@@ -1,12 +1,59 @@
-"""From raw documents to encoded training text, in five stages; each reads what the one before it wrote."""
+"""From raw documents to encoded training text, in five stages; each works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sparkledger.llm import bpe, line_dedup, mixing, ngram_join, quality_fm
+from sparkledger.llm.queries import MIX_LEVELS, MIX_SEED, mix_weights, vocabulary_path, with_domain, word_count
+from sparkledger.llm.shared import kept_table
+
+#: Share of the tokens that the mix gives out, at most once each.
+MIX_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine takes for good ones; it learns on the labels of these documents."""
+    machine = quality_fm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_fm.filter_documents(docs, machine)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many documents share; a document without any line left goes. ``n_chars`` follows the text."""
+    made = line_dedup.dedup_lines(docs)
+    left = made.filter((F.col("n_dropped") == 0) | (F.length(F.btrim("kept")) > 0))
+    changed = F.col("n_dropped") > 0
+    replaced = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))}
+    return left.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): the one with the least id."""
+    found = ngram_join.near_duplicates(docs)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, whole and once each: a leaf's last one is kept when the prefix reaches it."""
+    taken = mixing.mix_sources(with_domain(docs), MIX_LEVELS, word_count(), mix_weights(spark), percent=MIX_PERCENT, most_epochs=1, seed=MIX_SEED)
+    return docs.join(kept_table(taken.select("doc_id").distinct(), "mix"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, with their count and checksums."""
+    return bpe.encode_documents(docs, vocabulary_path())
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram join", near_duplicates), ("mixing", mix), ("bpe", encode)]
+
+#: A trained classifier has no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = kept_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

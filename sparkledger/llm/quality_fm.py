@@ -193,3 +193,17 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
 
     ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+
+
+def filter_documents(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, as they stand; the texts move to Python and back once, and are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                logits, _ = machine.logits(*features(part.column(part.schema.get_field_index(text_col))))
+                yield part.filter(pa.array(logistic(logits) >= least))
+
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, host_rules, lang_kernel, line_dedup, mixing, pii, quality_fm, secrets
+from . import bpe, fingerprints, host_rules, lang_kernel, line_dedup, mixing, ngram_join, pii, quality_fm, secrets
 from .shared import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op1(spark, sf_dir):
     return mixing.mix_sources(docs, MIX_LEVELS, word_count(), mix_weights(spark), percent=80, most_epochs=3, seed=MIX_SEED).drop("_row")
 
 
+@query("op2_ngram_join")
+def op2(spark, sf_dir):
+    return ngram_join.near_duplicates(documents(spark, sf_dir), size=4, percent=85)
+
+
 @query("op3_pii")
 def op3(spark, sf_dir):
     return pii.find_pii(documents(spark, sf_dir)).drop("pii")
