@@ -38,7 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, whole and once each: a leaf's last one is kept when the prefix reaches it."""
     taken = mixing.mix_sources(with_domain(docs), MIX_LEVELS, word_count(), mix_weights(spark), percent=MIX_PERCENT, most_epochs=1, seed=MIX_SEED)
-    return docs.join(kept_table(taken.select("doc_id").distinct(), "mix"), "doc_id", "left_semi").select(*docs.columns)
+    ids = kept_table(taken.select(F.col("doc_id").alias("_taken")).distinct(), "mix")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_taken"]), "left_semi").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 The kernel of two texts is the share of n-grams they have in common (cosine of presence vectors). Nyström landmarks turn it into
 a short vector, and ridge regression of each language against the rest scores it. All of it is matrix products over a batch of texts.
 
-Learned on a bounded sample: at most ``SAMPLE`` documents a language and ``MOST_LANGS`` languages' worth of landmarks in all.
+Learned on a bounded sample: at most ``SAMPLE`` documents a language, ``LANDMARKS`` of them as landmarks.
 """
 
 from __future__ import annotations

@@ -71,14 +71,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass. Empty tables give empty tables.
     """
     found = kept_table(shared_lines(docs, id_col, text_col, least_chars), "lines")
-    lost = dropped_lines(found, least_docs).select(F.col("id").alias("_id"), F.col("of").alias("_of"), F.col("drops").alias("_drops"))
+    lost = dropped_lines(found, least_docs)
+    # As a struct, so that no column of the documents can clash with those of the other side.
     base = docs.drop("n_lines", "n_dropped", "kept")
-    joined = base.join(lost, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_of")), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(without(lines, F.col("_drops")), "\n"))
+    doc = lambda name: F.col("doc").getField(name)
+    rows = base.select(F.struct(*[base[c] for c in base.columns]).alias("doc"))
+    joined = rows.join(lost, (doc(id_col) == F.col("id")) & (F.xxhash64(doc(text_col)) == F.col("of")), "left")
+    text = F.coalesce(doc(text_col), F.lit(""))
+    lines = F.split(text, "\n", -1)
     return joined.select(
-        *[F.col(c) for c in base.columns],
+        *[doc(c).alias(c) for c in base.columns],
         F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.array_size("_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        kept.alias("kept"),
+        F.coalesce(F.array_size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), text).otherwise(F.array_join(without(lines, F.col("drops")), "\n")).alias("kept"),
     )
