@@ -114,10 +114,11 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], shift: float, seed: int = 1) -> Machine:
     """Steps with adapted rates over batches of 64. ``shift`` moves the scores from the sample's share of labels to the true one."""
     random = np.random.default_rng(seed)
-    machine = Machine(0.0, np.zeros(N_FEATURES), random.normal(0, 0.02, (N_FEATURES, RANK)))
     labels = np.array([r[0] for r in rows], float)
+    learns = len(set(labels)) > 1
+    machine = Machine(0.0, np.zeros(N_FEATURES), random.normal(0, 0.02 if learns else 0.0, (N_FEATURES, RANK)))
     seen = [np.full(1, 1e-8), np.full(N_FEATURES, 1e-8), np.full((N_FEATURES, RANK), 1e-8)]
-    for _ in range(EPOCHS if len(set(labels)) > 1 else 0):
+    for _ in range(EPOCHS if learns else 0):
         order = random.permutation(len(rows))
         for start in range(0, len(order), 64):
             chosen = [rows[i] for i in order[start : start + 64]]

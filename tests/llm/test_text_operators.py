@@ -107,7 +107,7 @@ def plain_pii(text):
 
 
 def test_pii_base_spans():
-    for text in sample_texts(4000, "a0.@-+ 1(9é%_", 60)[1:] + ["1" * 5000 + ".1.2.3", "4111 1111 1111 1111"]:
+    for text in sample_texts(4000, "a0.@-+ 1(9é%_", 60)[1:] + ["1" * 3000 + ".1.2.3", "4111 1111 1111 1111"]:
         assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, _ in pii.find_spans(text) if k < pii.BASE] == plain_pii(text)
 
 
