@@ -214,7 +214,7 @@ def _ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: list[
     return kept.groupBy(*keys).agg(listed.alias(out))
 
 
-def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
+def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id"), most_capabilities: int = 8, most_tasks: int = 6) -> DataFrame:
     """Nine phases per case: worst state (the later of equals), last time, actions, capabilities, model use."""
     by = list(keys)
     o = observations(events)
@@ -252,7 +252,9 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
     facts = parts.select(*group, "seq", "sub", F.explode(F.concat(fact("a", F.array("action")), fact("c", F.col("caps")), fact("t", F.col("tasks")))).alias("f"))
     facts = facts.select(*group, "seq", "sub", "f.*").filter(~T.is_blank("value"))
     first = facts.groupBy(*group, "kind", "value").agg(F.min(F.struct("seq", "sub", "at")).alias("_at"))
-    few = skew.top_n(first, [*group, "kind"], [F.asc("_at")], 20, "_n").filter((F.col("kind") == "a") | ((F.col("kind") == "c") & (F.col("_n") <= 8)) | ((F.col("kind") == "t") & (F.col("_n") <= 6)))
+    # All actions are listed; of capabilities and tasks the first few are the definition.
+    firsts = skew.top_n(first.filter(F.col("kind") != "a"), [*group, "kind"], [F.asc("_at")], max(most_capabilities, most_tasks), "_n")
+    few = firsts.filter(F.col("_n") <= F.when(F.col("kind") == "c", most_capabilities).otherwise(most_tasks)).drop("_n").unionByName(first.filter(F.col("kind") == "a"))
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_at", "value")))), lambda x: x["value"])
     lists = few.groupBy(*group).agg(listed("a").alias("actions"), listed("c").alias("capabilities"), listed("t").alias("llm_tasks"))
     joined = base.join(lists, group, "left")
@@ -348,9 +350,11 @@ def store_stats(events: DataFrame, packages: DataFrame, sellers: DataFrame, buye
     )
 
 
-def rule_candidates(events: DataFrame, tenant: str, limit: int = 5000) -> DataFrame:
-    """Rules learned at the clients of a tenant, gathered from its oldest ``limit`` reports."""
-    reports = events.filter((F.col("tenant") == tenant) & (F.col("event_type") == "local_learned_rules_saved")).orderBy("received_at", "seq").limit(limit)
+def rule_candidates(events: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
+    """Rules learned at the clients of a tenant, gathered from all its reports, or from the oldest ``limit``."""
+    reports = events.filter((F.col("tenant") == tenant) & (F.col("event_type") == "local_learned_rules_saved"))
+    if limit is not None:
+        reports = reports.orderBy("received_at", "seq").limit(limit)
     rules = parse_payload(reports).select("seq", "received_at", "case_id", "draft_id", F.posexplode("p.rules").alias("at", "r"))
     fields = ("raw_alias", "tax_category", "tax_code", "tax_treatment_or_rate", "company_name", "normalized_invoice_name", "decision_basis", "confidence")
     rows = rules.select("seq", "at", "received_at", T.strip("case_id").alias("case_id"), T.strip("draft_id").alias("draft_id"), *[T.strip(f"r.{f}").alias(f) for f in fields])
@@ -373,7 +377,7 @@ def rule_candidates(events: DataFrame, tenant: str, limit: int = 5000) -> DataFr
     plain = lambda c: rows.select(*group, F.col(c).alias("v"), F.struct("seq", "at").alias("o"))
     lists = [listing(aliases, "raw_alias"), listing(plain("company_name"), "company_names"), listing(plain("case_id"), "case_ids"), listing(plain("draft_id"), "draft_ids")]
     joined = reduce(lambda a, b: a.join(b, group, "left"), lists, heads)
-    # The number of groups is bounded by ``limit`` reports, so one ordered numbering is enough.
+    # Groups are few beside the reports: one row for each candidate is numbered here.
     number = F.row_number().over(W.orderBy("first_pos"))
     return joined.select(
         F.concat(F.lit("cand-"), F.lpad(number.cast("string"), 4, "0")).alias("candidate_id"), F.lit(tenant).alias("tenant"), F.lit("pending_review").alias("status"),
@@ -386,13 +390,15 @@ RULE_PACKAGE = "array<struct<rule_id:string,raw_alias:string,normalized_invoice_
 
 
 def latest_rules(packages: DataFrame) -> DataFrame:
-    """Rules of the newest active package of every tenant."""
-    newest = packages.filter(F.col("status") == "active").groupBy("tenant").agg(
-        F.max_by(F.struct("package_id", "version", "published_at", "rules_json"), F.struct("published_at", "seq")).alias("p")
-    )
-    return newest.select("tenant", "p.package_id", "p.version", "p.published_at", F.posexplode(F.from_json("p.rules_json", RULE_PACKAGE)).alias("rule_pos", "r")).select(
-        "tenant", "package_id", "version", "published_at", "rule_pos", "r.*"
-    )
+    """Rules of the newest active package of every tenant; all parts of it, ``rule_pos`` counting on through the parts by ``seq``."""
+    active = packages.filter(F.col("status") == "active")
+    newest = active.groupBy("tenant").agg(F.max_by(F.struct("package_id", "published_at"), F.struct("published_at", "seq")).alias("p"))
+    chosen = active.join(newest.select("tenant", "p.*"), ["tenant", "package_id", "published_at"]).withColumn("_rules", F.from_json("rules_json", RULE_PACKAGE))
+    # A row per part here, so the window is as long as a package has parts.
+    earlier = W.partitionBy("tenant").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    parts = chosen.withColumn("_before", F.coalesce(F.sum(F.size("_rules")).over(earlier), F.lit(0)))
+    rules = parts.select("tenant", "package_id", "version", "published_at", "_before", F.posexplode("_rules").alias("_at", "r"))
+    return rules.select("tenant", "package_id", "version", "published_at", (F.col("_before") + F.col("_at")).cast("int").alias("rule_pos"), "r.*")
 
 
 def attachment_summary(files: DataFrame, names: int = 12) -> DataFrame:
@@ -409,21 +415,18 @@ def attachment_summary(files: DataFrame, names: int = 12) -> DataFrame:
 
 
 EVENT_VERSION = "execution_event_v2"
-EVENT_LINES = 2000
 
 
-def draft_events(drafts: DataFrame, lines: DataFrame, event_type: str, created_at: Column | None = None, entries: int = EVENT_LINES) -> DataFrame:
-    """Event rows with a snapshot of each draft; the id follows from the draft, so a rerun gives the same.
+def draft_events(drafts: DataFrame, lines: DataFrame, event_type: str, created_at: Column | None = None) -> DataFrame:
+    """An event row with a snapshot of each draft, all its lines in order; the id follows from the draft, so a rerun gives the same.
 
-    A draft with more than ``entries`` lines is reported in several events that share its id fields.
+    The snapshot is a nested document by definition; ``lines`` itself is the flat form.
     """
-    numbers = lines.groupBy("draft_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(entries)).alias("parts"))
-    placed = lines.join(numbers, "draft_id").withColumn("part", F.when(F.col("parts") <= 1, 0).otherwise(F.pmod(F.xxhash64("line_no"), "parts")))
     shown = ("project_name", "amount_with_tax", "tax_rate", "tax_category", "tax_code")
-    nested = placed.groupBy("draft_id", "part").agg(
+    nested = lines.groupBy("draft_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", *shown))), lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("lines")
     )
-    joined = drafts.join(nested, "draft_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    joined = drafts.join(nested, "draft_id", "left")
     payload = F.to_json(
         F.struct(
             "case_id", "draft_id", "company_name", F.struct(F.col("buyer_name").alias("name"), F.col("buyer_tax_id").alias("tax_id")).alias("buyer"),
@@ -432,6 +435,6 @@ def draft_events(drafts: DataFrame, lines: DataFrame, event_type: str, created_a
     )
     when = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     return joined.select(
-        F.substring(F.sha2(F.concat_ws("|", "draft_id", F.lit(event_type), F.col("part").cast("string")), 256), 1, 12).alias("event_id"),
+        F.substring(F.sha2(F.concat_ws("|", "draft_id", F.lit(event_type), F.lit("0")), 256), 1, 12).alias("event_id"),
         "case_id", "draft_id", "batch_id", F.lit(event_type).alias("event_type"), when.alias("created_at"), F.lit(EVENT_VERSION).alias("schema_version"), payload.alias("payload"),
     )

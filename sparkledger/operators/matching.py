@@ -153,13 +153,15 @@ def match_reissues(requests: DataFrame, invoices: DataFrame) -> DataFrame:
     return out.join(full, "request_id").select("request_id", "original_no", "pos", "amount", "invoice_no", "matched_all")
 
 
-def split_by_targets(lines: DataFrame, targets: DataFrame, most: int = MOST_TARGETS, size: int = skew.CHUNK) -> DataFrame:
+def split_by_targets(lines: DataFrame, targets: DataFrame, size: int = skew.CHUNK) -> DataFrame:
     """Cuts the ordered lines of an invoice into runs, each ending where its sum meets the next target.
 
     ``lines``: invoice_no, line_no, amount; ``targets``: invoice_no, target_pos (0-based), target. One
     target takes all lines. Otherwise every target needs a run, or the invoice gives no rows; a target
-    never met takes what is left. Works on running sums, one join per target, never on whole invoices.
+    never met takes what is left. Where one target meets one line, the line gets the target as its amount.
+    Works on running sums, one join for each target of the invoice that has the most, never on whole invoices.
     """
+    most = targets.groupBy("invoice_no").count().agg(F.max("count")).first()[0] or 0
     wanted = targets.groupBy("invoice_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("target_pos", "target"))), lambda t: t["target"]).alias("targets"))
     work = lines.join(wanted, "invoice_no", "left_semi").select("invoice_no", "line_no", F.coalesce(F.abs("amount"), F.lit(0)).cast("decimal(28,2)").alias("a"))
     run = skew.chunked_running_sum(work, ["invoice_no"], "line_no", F.col("a"), "run", size).select("invoice_no", "line_no", F.col("run").cast("decimal(38,2)").alias("run"))
@@ -182,7 +184,11 @@ def split_by_targets(lines: DataFrame, targets: DataFrame, most: int = MOST_TARG
         )
     n_targets = F.size("s.targets")
     cut = state.filter((n_targets == 1) | (F.size("s.ends") == n_targets)).select("invoice_no", n_targets.alias("n_targets"), F.col("s.ends").alias("ends"))
-    placed = lines.join(cut, "invoice_no")
+    single = lines.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("_lines"))
+    only = targets.groupBy("invoice_no").agg(F.first("target").alias("_target"))
+    alone = (F.col("_lines") == 1) & (F.col("n_targets") == 1)
+    placed = lines.join(cut, "invoice_no").join(single, "invoice_no").join(only, "invoice_no")
+    placed = placed.withColumn("amount", F.when(alone, F.col("_target").cast(lines.schema["amount"].dataType)).otherwise(F.col("amount")))
     group = F.when(F.col("n_targets") == 1, 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("line_no"))))
     return placed.withColumn("group_no", group).filter(F.col("group_no") < F.col("n_targets")).select(*lines.columns, "group_no")
 

@@ -10,8 +10,6 @@ from ..functions import text as T
 
 SELLER = ["seller_name", "seller_tax_id"]
 BUYER = ["buyer_name", "buyer_tax_id"]
-# Entries one profile document holds; a seller with more gets several documents.
-DOCUMENT_ENTRIES = 5000
 
 
 def dedupe_keys() -> list[Column]:
@@ -172,11 +170,10 @@ def batch_items(drafts: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def profile_documents(projects: DataFrame, buyers: DataFrame, entries: int = DOCUMENT_ENTRIES) -> DataFrame:
-    """Nested profile documents: one per seller, cut into parts beyond ``entries`` entries.
+def profile_documents(projects: DataFrame, buyers: DataFrame) -> DataFrame:
+    """Nested profile documents: one per seller, whole and sorted at every size.
 
-    The parts keep every entry and keep the arrays of a very large seller small; readers take the
-    documents of a seller together. A seller within the limit has exactly one, fully sorted document.
+    The nesting is the exchange format; ``projects`` and ``buyers`` are the flat rows, which jobs over all sellers should use.
     """
     items = projects.select(
         *SELLER, F.lit(True).alias("is_project"), F.struct((-F.col("line_count")).alias("n"), *PROJECT, "confidence").alias("project"),
@@ -184,15 +181,11 @@ def profile_documents(projects: DataFrame, buyers: DataFrame, entries: int = DOC
     )
     people = buyers.select(*SELLER, F.lit(False).alias("is_project"), F.lit(None).alias("project"), F.struct((-F.col("line_count")).alias("n"), *BUYER).alias("buyer"))
     both = items.unionByName(people)
-    parts = both.groupBy(*SELLER).agg(F.ceil(F.count(F.lit(1)) / F.lit(entries)).alias("parts"))
-    placed = both.join(parts, SELLER).withColumn(
-        "part", F.when(F.col("parts") <= 1, 0).otherwise(F.pmod(F.xxhash64("project", "buyer"), "parts"))
-    )
-    docs = placed.groupBy(*SELLER, "part").agg(
+    docs = both.groupBy(*SELLER).agg(
         F.array_sort(F.collect_list("project")).alias("p"), F.array_sort(F.collect_list("buyer")).alias("b")
     )
     return docs.select(
-        *SELLER, "part", F.lit("official_history_export").alias("source_confidence"),
+        *SELLER, F.lit("official_history_export").alias("source_confidence"),
         F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in PROJECT], (-x["n"]).alias("line_count"), x["confidence"].alias("confidence"))).alias("project_profiles"),
         F.transform("b", lambda x: F.struct(*[x[c].alias(c) for c in BUYER], (-x["n"]).alias("line_count"))).alias("buyer_profiles"),
     )
@@ -214,4 +207,4 @@ def active_profiles(sellers: DataFrame, projects: DataFrame, buyers: DataFrame,
         chosen = chosen.filter(F.lower("seller_name").contains(seller_name.strip().lower()))
     wanted = chosen.select(*SELLER)
     documents = profile_documents(projects.join(wanted, SELLER, "left_semi"), buyers.join(wanted, SELLER, "left_semi"))
-    return chosen.select(*SELLER, "updated_at").join(documents, SELLER, "left").orderBy(F.desc("updated_at"), "seller_name", "part")
+    return chosen.select(*SELLER, "updated_at").join(documents, SELLER, "left").orderBy(F.desc("updated_at"), "seller_name")

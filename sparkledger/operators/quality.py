@@ -73,17 +73,15 @@ def extra_sheet(drafts: DataFrame, fields: str = "extra_fields") -> DataFrame:
 
 
 TEXT_HEADERS = ("项目名称", "赋码大类", "税收编码", "零件编码", "规格型号", "单位", "数量", "单价", "含税金额", "税率/征收率", "赋码说明")
-TEXT_LINES = 2000
 
 
-def lines_to_text(lines: DataFrame, entries: int = TEXT_LINES, size: int = skew.CHUNK) -> DataFrame:
-    """Lines of a draft as a tab-separated table in line order; a very long draft gives several tables."""
+def lines_to_text(lines: DataFrame) -> DataFrame:
+    """Lines of a draft as one tab-separated table in line order, whole at every size."""
     amount = T.money_text(T.resolved_amount("amount_with_tax", "quantity", "unit_price"))
     row = F.concat_ws("\t", "project_name", "tax_category", "tax_code", "source_item_code", "specification", "unit", "quantity", "unit_price", amount, T.canonical_rate("tax_rate"), "coding_reference")
     rows = lines.select("draft_id", "line_no", row.alias("row"))
-    placed = skew.chunked_row_number(rows, ["draft_id"], "line_no", "n", size).withColumn("part", F.floor((F.col("n") - 1) / entries))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "row"))), lambda x: x["row"])
-    return placed.groupBy("draft_id", "part").agg(F.array_join(F.concat(F.array(F.lit("\t".join(TEXT_HEADERS))), listed), "\n").alias("text"))
+    return rows.groupBy("draft_id").agg(F.array_join(F.concat(F.array(F.lit("\t".join(TEXT_HEADERS))), listed), "\n").alias("text"))
 
 
 # --- validation -----------------------------------------------------------------------------

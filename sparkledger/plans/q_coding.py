@@ -132,7 +132,7 @@ hs AS (SELECT item_text, official_code, CASE WHEN contains(item_text, 'LED') AND
     + CASE WHEN contains(item_text, '针') AND (contains(official_name, '医') OR contains(description, '医用')) THEN 32 ELSE 0 END
     + CASE WHEN contains(item_text, '针') AND contains(concat(official_name, description), '针') THEN 45 ELSE 0 END AS s FROM t JOIN e ON TRUE),
 al AS (SELECT item_text, official_code, sum(s) AS score FROM (SELECT * FROM gs UNION ALL SELECT * FROM hs WHERE s > 0) u GROUP BY ALL),
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_text ORDER BY score DESC, official_code) AS rank FROM al WHERE score > 0) r WHERE rank <= 20)"""
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_text ORDER BY score DESC, official_code) AS rank FROM al WHERE score > 0) r WHERE rank <= 80)"""
 TAX2_SQL = """SELECT official_code, CASE WHEN official_name LIKE '%ring' THEN concat('户外照明', official_name) WHEN official_name LIKE '%gear' THEN concat('医', official_name) ELSE official_name END AS official_name,
   category_short_name, CASE WHEN official_name LIKE 'red%' THEN concat(description, '针') ELSE description END AS description FROM tax"""
 
@@ -141,7 +141,7 @@ TAX2_SQL = """SELECT official_code, CASE WHEN official_name LIKE '%ring' THEN co
 def _(spark, sf):
     table(spark, sf, "part").createOrReplaceTempView("part")
     view(spark, sf, "tax").createOrReplaceTempView("tax")
-    return taxonomy.taxonomy_candidates(spark.sql(ITEMS_SQL), spark.sql(TAX2_SQL), limit=20).select("item_text", "rank", "official_code", "score")
+    return taxonomy.taxonomy_candidates(spark.sql(ITEMS_SQL), spark.sql(TAX2_SQL)).select("item_text", "rank", "official_code", "score")
 
 
 CHOICE_ITEMS = "SELECT draft_id, line_no, project_name, specification, tax_category, tax_code, coding_reference FROM dlines"
@@ -149,8 +149,8 @@ CHOICES_SQL = f"""SELECT {K('p_name')} AS choice_key, CASE WHEN p_name LIKE 'red
   SELECT official_name AS p_name, official_code AS code FROM tax WHERE category_short_name NOT LIKE '区%' AND category_short_name NOT LIKE '类%') n WHERE p_name NOT LIKE 'blue%'"""
 
 
-@query("apply_choices", f"""WITH items AS (SELECT * FROM ({CHOICE_ITEMS}) i WHERE project_name <> ''), tax2 AS (SELECT * FROM tax),
-{CAND_SQL.replace('rank <= 20', 'rank <= 80').replace("concat_ws(' ', project_name, specification, tax_category)", "trim(concat_ws(' ', project_name, specification, tax_category))")},
+@query("apply_choices", f"""WITH items AS ({CHOICE_ITEMS}), tax2 AS (SELECT * FROM tax),
+{CAND_SQL.replace("concat_ws(' ', project_name, specification, tax_category)", "trim(concat_ws(' ', project_name, specification, tax_category))")},
 c AS ({CHOICES_SQL}), src AS (SELECT *, trim(concat_ws(' ', project_name, specification, tax_category)) AS item_text FROM ({CHOICE_ITEMS}) i),
 j AS (SELECT src.*, c.code, cand.official_code AS hit, x.category_short_name AS hit_short, x.official_name AS hit_name, src.item_text IN (SELECT item_text FROM cand) AS any_cand,
     tax_category = '' OR tax_code = '' OR coding_reference = '' OR coding_reference LIKE '未命中规则%' AS open
@@ -159,11 +159,11 @@ SELECT draft_id, line_no, CASE WHEN tax_category <> '' THEN tax_category ELSE co
   CASE WHEN tax_code <> '' THEN tax_code ELSE coalesce(hit, '') END AS tax_code,
   CASE WHEN hit IS NOT NULL THEN concat('智能推荐，需人工复核: 大类 ', hit_short, ' / 细分 ', hit_name, ' / 编码 ', hit) WHEN NOT open THEN coding_reference
     WHEN NOT any_cand THEN '待智能赋码: 官方分类库暂无可用候选，请人工确认' WHEN code IS NULL THEN '待智能赋码: 本地规则未命中，LLM 未启用，请人工选择税收分类'
-    ELSE '智能赋码返回结果未命中官方候选，需人工确认' END AS coding_reference FROM j WHERE project_name <> ''""")
+    ELSE '智能赋码返回结果未命中官方候选，需人工确认' END AS coding_reference FROM j""")
 def _(spark, sf):
     view(spark, sf, "dlines").createOrReplaceTempView("dlines")
     view(spark, sf, "tax").createOrReplaceTempView("tax")
-    lines = spark.sql(CHOICE_ITEMS).filter(F.col("project_name") != "")
+    lines = spark.sql(CHOICE_ITEMS)
     choices = spark.sql(CHOICES_SQL.replace(", 'g')", ")"))
     return coding.apply_choices(lines, choices, view(spark, sf, "tax")).select("draft_id", "line_no", "tax_category", "tax_code", "coding_reference")
 

@@ -71,7 +71,7 @@ def _(spark, sf):
     sums = lines.groupBy("invoice_no", "part").agg(F.sum("amount").alias("target"))
     before = F.size(F.filter("parts", lambda p: p < F.col("part")))
     targets = sums.join(sums.groupBy("invoice_no").agg(F.collect_set("part").alias("parts")), "invoice_no").select("invoice_no", before.alias("target_pos"), "target")
-    return matching.split_by_targets(lines.drop("part"), targets, most=3, size=10**15).select("invoice_no", "line_no", "group_no")
+    return matching.split_by_targets(lines.drop("part"), targets, size=10**15).select("invoice_no", "line_no", "group_no")
 
 
 VEHICLE_SQL = """SELECT concat('S', cast(l_suppkey AS string)) AS sheet, cast(l_orderkey AS bigint) * 8000000 + cast(l_linenumber AS bigint) * 1000000 + cast(l_partkey AS bigint) AS row, CASE WHEN l_returnflag = 'A' THEN concat('buyer ', cast(l_orderkey AS string)) ELSE '' END AS buyer,
@@ -164,7 +164,7 @@ def _(spark, sf):
 
 ASK_SQL = """SELECT cast(o_orderkey AS string) AS request_id, s_name AS seller_name, CASE WHEN o_orderstatus = 'F' THEN '' ELSE cast(cast(o_totalprice AS decimal(18,2)) AS string) END AS amount_with_tax, CASE WHEN o_orderpriority = '1-URGENT' THEN 'asked item' ELSE '' END AS project_name,
   '' AS tax_rate, '' AS tax_category, '' AS tax_code, '' AS specification, '' AS unit, '' AS quantity, concat(cast(o_orderkey AS string), '.png') AS source_name, CASE WHEN o_orderstatus = 'O' THEN cast(o_orderkey AS string) ELSE '' END AS order_no, '' AS email
-FROM orders JOIN (SELECT s_suppkey, s_name FROM supplier) s ON s_suppkey = o_custkey"""
+FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier) AS sk FROM orders) o JOIN (SELECT s_suppkey, s_name FROM supplier) s ON s_suppkey = sk"""
 
 
 @query("requests_to_lines", f"""WITH d AS ({DOMINANT_SQL}), r AS ({ASK_SQL}) SELECT request_id, CASE WHEN r.project_name <> '' THEN r.project_name ELSE coalesce(d.project_name, '') END AS project_name, amount_with_tax, coalesce(d.tax_rate, '') AS tax_rate, coalesce(d.tax_code, '') AS tax_code,

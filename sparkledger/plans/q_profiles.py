@@ -155,6 +155,15 @@ def _(spark, sf):
     return standardize_lines(src.replace_by_key(view(spark, sf, "lines_before"), saved, ["draft_id"])).select("draft_id", "line_no", "amount")
 
 
-@query("file_inventory")
+FILES_SQL = """SELECT concat('file:/data/in.box/', CASE cast(page_id AS bigint) % 5 WHEN 0 THEN '_档案库/' WHEN 1 THEN 'a/_收件箱/' WHEN 2 THEN 'a/历史开票明细/' ELSE '' END, 'p', cast(page_id AS string),
+  CASE cast(page_id AS bigint) % 3 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.PNG' ELSE '.txt' END) AS path, html FROM pages"""
+
+
+@query("file_inventory", f"""WITH f AS (SELECT replace(path, 'file:/data/in.box/', '') AS relative_path, html FROM ({FILES_SQL}) p)
+SELECT relative_path, CASE WHEN relative_path LIKE '%.xlsx' THEN 'excel_history_or_candidate' WHEN relative_path LIKE '%.PNG' THEN 'image_material' ELSE 'other' END AS type, strlen(html) AS size_bytes, sha256(html) AS sha256,
+  CASE WHEN relative_path LIKE '%/_收件箱/%' THEN '收件箱归档文件' WHEN relative_path LIKE '%/历史开票明细/%' THEN '客户历史开票明细' WHEN relative_path LIKE '%.PNG' THEN '图片/截图材料，默认需人工复核' ELSE '' END AS note
+FROM f WHERE relative_path NOT LIKE '_档案库/%'""")
 def _(spark, sf):
-    return src.read_file_inventory(spark, sf)
+    table(spark, sf, "pages").createOrReplaceTempView("pages")
+    files = spark.sql(FILES_SQL).select("path", F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
+    return src.file_inventory(files, "/data/in.box")

@@ -51,7 +51,7 @@ def _(spark, sf):
 @query("lines_to_text", f"""SELECT draft_id, concat('项目名称\t赋码大类\t税收编码\t零件编码\t规格型号\t单位\t数量\t单价\t含税金额\t税率/征收率\t赋码说明\n', string_agg(concat_ws('\t', project_name, tax_category, tax_code,
   source_item_code, specification, unit, quantity, unit_price, coalesce(cast({AMOUNT_SQL} AS varchar), ''), {RATE_SQL}, coding_reference), '\n' ORDER BY line_no)) AS text FROM dlines GROUP BY draft_id""")
 def _(spark, sf):
-    return quality.lines_to_text(view(spark, sf, "dlines"), size=10**15).select("draft_id", "text")
+    return quality.lines_to_text(view(spark, sf, "dlines"))
 
 
 # Sheets with faults put in by what the line says.

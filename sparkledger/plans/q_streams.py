@@ -57,9 +57,22 @@ def _(spark, sf):
     return mark(first, "next").unionByName(mark(later, "later"))
 
 
-@query("new_files")
+# Documents stand in for arriving files; of every ninth the content was seen before.
+ARRIVED_SQL = """SELECT concat(source, '/d', cast(doc_id AS string), CASE lang WHEN 'en' THEN '.xlsx' WHEN 'de' THEN '.png' ELSE '.txt' END) AS relative_path, lang, source, text FROM documents"""
+
+
+@query("new_files", f"""WITH f AS (SELECT relative_path, lang, source, strlen(text) AS size_bytes, sha256(text) AS sha256 FROM ({ARRIVED_SQL}) a), m AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 9 = 0)
+SELECT relative_path, CASE lang WHEN 'en' THEN 'excel_history_or_candidate' WHEN 'de' THEN 'image_material' ELSE 'other' END AS type, size_bytes, sha256,
+  CASE WHEN sha256 IN (SELECT sha256 FROM m) OR relative_path <> min(relative_path) OVER (PARTITION BY sha256) THEN 'duplicate' WHEN lang = 'en' AND source <> 'src1' THEN 'imported' WHEN lang = 'en' THEN 'failed'
+    WHEN lang = 'de' THEN 'candidate_only' ELSE 'unsupported' END AS status FROM f""")
 def _(spark, sf):
-    return jobs.new_files(src.read_file_inventory(spark, sf), None)
+    documents = table(spark, sf, "documents")
+    documents.createOrReplaceTempView("documents")
+    content = F.col("text").cast("binary")
+    files = spark.sql(ARRIVED_SQL).select(F.concat(F.lit("/in/"), "relative_path").alias("path"), F.octet_length("text").cast("bigint").alias("length"), content.alias("content"), "source")
+    sellers = files.select(F.regexp_replace("path", "^/in/", "").alias("relative_path"), F.when(F.col("source") != "src1", F.col("source")).otherwise("").alias("seller_name"))
+    known = documents.filter(F.col("doc_id") % 9 == 0).select(F.sha2(content, 256).alias("sha256"))
+    return jobs.new_files(src.file_inventory(files, "/in").join(sellers, "relative_path"), known)
 
 
 @query("case_states", "SELECT tenant, case_id, count(*) AS event_count, arg_max(event_type, seq) AS last_event_type, bool_or(event_type = 'success_recorded') AS assistant_confirmed FROM cev GROUP BY ALL")

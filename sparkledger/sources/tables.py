@@ -146,8 +146,14 @@ INBOX, HISTORY_DIR, PROFILE_DIR = "_收件箱", "历史开票明细", "_档案
 
 
 def file_inventory(files: DataFrame, root: str) -> DataFrame:
-    """Per file: path below ``root``, type, size, hash and note. ``files`` comes from the binaryFile source."""
-    relative = F.regexp_replace("path", "^(file:)?/*" + root.strip("/").replace(".", "\\.") + "/*", "")
+    """Per file: path below ``root``, type, size, hash and note.
+
+    ``files``: path, length and content, as the binaryFile source gives them. A row holds a whole file, so that source
+    refuses files over its own limit of 2 GB.
+    """
+    base = root.removeprefix("file:").strip("/") + "/"
+    plain = F.regexp_replace("path", "^(file:)?/*", "")
+    relative = F.when(plain.startswith(base), F.ltrim(F.substring(plain, len(base) + 1, 2**31 - 1), F.lit("/"))).otherwise(plain)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     image = suffix.isin(*IMAGE_SUFFIXES)
     parts = F.split("relative_path", "/")

@@ -89,9 +89,9 @@ def test_reissue(spark):
     assert got[("a", 0)] == ("n2", True) and got[("b", 0)] == (None, False)
     lines = spark.createDataFrame([(number, 1, 40000.0), (number, 2, 7060.0), (number, 3, 9750.0), (number, 4, 16160.0)], "invoice_no string, line_no bigint, amount double")
     targets = spark.createDataFrame([(number, 0, 47060.0), (number, 1, 9750.0), (number, 2, 16160.0)], "invoice_no string, target_pos int, target double")
-    assert [r.group_no for r in matching.split_by_targets(lines, targets, most=3).orderBy("line_no").collect()] == [0, 0, 1, 2]
+    assert [r.group_no for r in matching.split_by_targets(lines, targets).orderBy("line_no").collect()] == [0, 0, 1, 2]
     bad = targets.withColumn("target", F.col("target") + 1)
-    assert matching.split_by_targets(lines, bad, most=3).count() == 0
+    assert matching.split_by_targets(lines, bad).count() == 0
 
 
 def test_exclusive_requests_against_brute_force(spark):
