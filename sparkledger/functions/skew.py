@@ -3,8 +3,8 @@
 * ``first_by`` / ``last_by`` are aggregates, so each map task reduces its rows before the shuffle.
 * The ``chunked_*`` windows cut a group at fixed steps of its integer position. Each chunk is a
   task of bounded size; only one small row per chunk meets in the second, per-group window.
-* ``contained_in`` finds "text contains key" by an equi join on the substrings of the lengths that
-  occur among the keys. It yields true matches only, so nothing like a cross join is ever built.
+* ``contained_in`` finds "text contains key" by an equi join on one short anchor per key and verifies
+  the pairs, so nothing like a cross join is ever built.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 100_000
 TEXT_SPAN = 512
-# So many keys are also tried inside the row, before anything is joined; more keys meet in the join alone.
-FEW_KEYS = 512
+# Characters of a key that its anchor has, where the key has so many.
+GRAM = 3
 
 
 def _names(df: DataFrame, keys) -> list[str]:
@@ -119,27 +119,37 @@ def key_lengths(keys: DataFrame, key: str) -> Column:
     return keys.agg(F.array_sort(F.collect_set(F.length(key)))).scalar()
 
 
+def anchored(keys: DataFrame) -> DataFrame:
+    """(_key, _gram): each key with its rarest substring of ``GRAM`` characters; a shorter key is its own.
+
+    Rare among the keys, so that a substring which many keys share draws no texts to all of them.
+    """
+    size = F.least(F.length("_key"), F.lit(GRAM))
+    grams = keys.select("_key", F.explode(substrings(F.col("_key"), F.array(size))).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return grams.join(counts, "_gram").groupBy("_key").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select("_key", "_a._gram")
+
+
 def contained_in(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key: str, long_text: bool = False) -> DataFrame:
     """Distinct (text_id, key) pairs where the text contains the key.
 
-    ``texts`` should be distinct already. With ``long_text`` each text is first cut into spans that
-    overlap by the longest key, so that a row never carries the substrings of a whole document.
+    ``texts`` should be distinct already. Every key waits at one anchor, a few of its characters; a text comes to
+    the anchors among its own substrings of that size and keeps the keys that it holds. A row per character and size, for any
+    number of keys. With ``long_text`` each text is first cut into spans that overlap by the longest key, so that a row never
+    carries the substrings of a whole document.
     """
     wanted = keys.select(F.col(key).alias("_key")).filter(F.col("_key") != "").distinct()
-    lengths = key_lengths(wanted, "_key")
-    few = wanted.limit(FEW_KEYS + 1).agg(F.collect_set("_key")).scalar()
-    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"), lengths.alias("_lengths"), few.alias("_few"))
+    facts = wanted.agg(F.array_sort(F.collect_set(F.least(F.length("_key"), F.lit(GRAM)))).alias("sizes"), F.max(F.length("_key")).alias("longest"))
+    facts = facts.select(F.struct("sizes", "longest").alias("f")).scalar()
+    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"), facts.alias("_f"))
     if long_text:
-        longest = F.coalesce(F.array_max("_lengths"), F.lit(1))
+        longest = F.coalesce("_f.longest", F.lit(1))
         starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(TEXT_SPAN))
-        base = base.select("_id", F.explode(starts).alias("_at"), "_text", "_lengths", "_few").select(
-            "_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN) + longest - 1).alias("_text"), "_lengths", "_few"
+        base = base.select("_id", F.explode(starts).alias("_at"), "_text", "_f").select(
+            "_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN) + longest - 1).alias("_text"), "_f"
         )
-    parts = substrings(F.col("_text"), F.col("_lengths"))
-    whole = F.col("_text")
-    tried = F.when(F.size("_few") <= FEW_KEYS, F.filter("_few", lambda k: whole.contains(k))).otherwise(parts)
-    grams = base.select("_id", F.explode(tried).alias("_key"))
-    hits = grams.join(wanted, "_key", "left_semi")
+    grams = base.select("_id", "_text", F.explode(substrings(F.col("_text"), F.col("_f.sizes"))).alias("_gram"))
+    hits = grams.join(anchored(wanted), "_gram").filter(F.col("_text").contains(F.col("_key"))).select("_id", "_key")
     if long_text:
         hits = hits.distinct()
     return hits.select(F.col("_id").alias(text_id), F.col("_key").alias(key))
