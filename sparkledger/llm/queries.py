@@ -124,7 +124,28 @@ def op7(spark, sf_dir):
     return found.select("doc_id", lang_kernel.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op8_host_rules")
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3) x),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) x WHERE c > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) x GROUP BY doc_id),
+dups AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) x GROUP BY doc_id),
+counts AS (SELECT d.doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words FROM d LEFT JOIN dups ON dups.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(n_symbols > 0.3 * greatest(n_words, 1) AS int) + CAST(n_dup_lines > 0.05 * greatest(n_words, 1) AS int)
+  + CAST(NOT (word_chars / greatest(n_words, 1) BETWEEN 2.5 AND 14.0) AS int) AS soft FROM counts),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft > 0) AS bad FROM judged GROUP BY source),
+sums AS (SELECT count(*) AS k, sum(n) AS total, sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) AS squares, sum(n * n) AS nn FROM hosts),
+fitted AS (SELECT mean, total - nn / total AS effective, (squares - total * mean * mean - (k - 1) * mean * (1 - mean)) / nullif(total - nn / total, 0) AS spread FROM sums),
+prior AS (SELECT mean, CASE WHEN effective > 0 AND spread > 0 THEN greatest(mean * (1 - mean) / spread - 1, 1.0) ELSE 1e12 END AS weight FROM fitted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND soft <= CASE WHEN (bad + mean * weight) / (n + weight) > 0.5 THEN 0 ELSE 1 END AS kept
+FROM judged JOIN hosts ON hosts.source = judged.source, prior
+"""
+
+
+@query("op8_host_rules", RULES_SQL)
 def op8(spark, sf_dir):
     judged = host_rules.judge_documents(documents(spark, sf_dir))
     return judged.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
