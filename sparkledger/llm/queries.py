@@ -57,7 +57,42 @@ def word_count():
     return F.regexp_count("text", F.lit(WORD))
 
 
-@query("op1_mix_sources")
+def _weight_sql(values: dict, column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " ELSE 1 END"
+
+
+def _level_sql(i: int) -> str:
+    """Statement parts that give each node of a level its share of its parent's budget."""
+    keys = ", ".join(MIX_LEVELS[: i + 1])
+    part = f"PARTITION BY {', '.join(MIX_LEVELS[:i])} " if i else ""
+    order = f"{part}ORDER BY ratio NULLS FIRST, {MIX_LEVELS[i]} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""a{i} AS (SELECT {keys}, max(w{i + 1}) AS w, sum(available * 3) AS cap, max(b{i}) AS b FROM g{i} GROUP BY {keys}),
+r{i} AS (SELECT *, CASE WHEN w > 0 THEN cap ELSE 0 END AS c, CASE WHEN w > 0 THEN CAST(cap AS double) / w END AS ratio FROM a{i}),
+s{i} AS (SELECT *, b - coalesce(sum(c) OVER ({order} 1 PRECEDING), 0) AS remains, sum(w) OVER ({part}) - coalesce(sum(w) OVER ({order} 1 PRECEDING), 0) AS ws FROM r{i}),
+f{i} AS (SELECT *, coalesce(min(CASE WHEN w > 0 THEN CAST(CAST(c AS hugeint) * ws <= CAST(remains AS hugeint) * w AS int) END) OVER ({order} CURRENT ROW), 1) = 1 AS whole FROM s{i}),
+t{i} AS (SELECT *, b - coalesce(sum(CASE WHEN whole THEN c END) OVER ({part}), 0) AS rest, CASE WHEN whole THEN 0 ELSE w END AS free FROM f{i}),
+u{i} AS (SELECT *, sum(free) OVER ({order} CURRENT ROW) AS upto, sum(free) OVER ({part}) AS frees FROM t{i}),
+g{i + 1} AS (SELECT g.*, CASE WHEN whole THEN c ELSE CAST(rest * upto // frees - rest * (upto - free) // frees AS bigint) END AS b{i + 1}
+  FROM g{i} g JOIN u{i} USING ({keys}))"""
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+  CASE coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,6}})$', 1) AS int), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'news' END AS domain FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS available FROM d WHERE tokens > 0 GROUP BY ALL),
+g0 AS (SELECT *, {_weight_sql(MIX_DOMAINS, 'domain')} AS w1, {_weight_sql(MIX_LANGS, 'lang')} AS w2, 1 AS w3, (SELECT sum(available) * 80 // 100 FROM leaves) AS b0 FROM leaves),
+{_level_sql(0)},
+{_level_sql(1)},
+{_level_sql(2)},
+q AS (SELECT domain, lang, source, b3 // available AS times, b3 % available AS part FROM g3),
+asked AS (SELECT d.*, times, part FROM d JOIN q USING (domain, lang, source) WHERE tokens > 0),
+full_epochs AS (SELECT domain, lang, source, doc_id, unnest(range(1, CAST(times AS bigint) + 1)) AS epoch, tokens, tokens AS taken FROM asked),
+last_epoch AS (SELECT *, part - coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{MIX_SEED}:', CAST(times + 1 AS bigint), ':', doc_id)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM asked)
+SELECT * FROM full_epochs UNION ALL SELECT domain, lang, source, doc_id, CAST(times + 1 AS bigint), tokens, CAST(least(tokens, room) AS bigint) FROM last_epoch WHERE room > 0
+"""
+
+
+@query("op1_mix_sources", MIX_SQL)
 def op1(spark, sf_dir):
     docs = with_domain(documents(spark, sf_dir))
     return mixing.mix_sources(docs, MIX_LEVELS, word_count(), mix_weights(spark), percent=80, most_epochs=3, seed=MIX_SEED).drop("_row")
