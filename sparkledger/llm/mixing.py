@@ -87,7 +87,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], budget: Column, most_epoc
         shares = split_budget(nodes, parents, level, "_w", "_cap", "_of", "_got")
         renamed = shares.select(*[F.col(k).alias(f"_{k}") for k in keys], F.least("_got", "_cap").alias("_got"))
         on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        given = given.join(renamed, on).drop("_budget", *[f"_{k}" for k in keys]).withColumnRenamed("_got", "_budget")
+        # A row per leaf, written between levels, so that a deep tree does not become one deep plan.
+        given = kept_table(given.join(renamed, on).drop("_budget", *[f"_{k}" for k in keys]).withColumnRenamed("_got", "_budget"), "budgets")
     return given.withColumnRenamed("_budget", "budget").drop("_limit_leaf")
 
 
@@ -145,7 +146,7 @@ def mix_sources(
     rows = kept_table(
         docs.select(*levels, id_col, F.coalesce(tokens, F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64(text_col).alias("_row")).filter("tokens > 0"), "mix"
     )
-    leaves = with_weights(leaf_totals(rows, levels, "tokens"), levels, weights)
-    total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    leaves = kept_table(with_weights(leaf_totals(rows, levels, "tokens"), levels, weights), "leaves")
+    total = leaves.agg(F.coalesce(F.sum("available"), F.lit(0))).scalar()
     budgets = leaf_budgets(leaves, levels, F.floor(total * percent / 100), most_epochs)
     return take_prefixes(rows, budgets, levels, id_col, "tokens", seed).select(*levels, id_col, "epoch", "tokens", "taken", "_row")
