@@ -25,7 +25,7 @@ from .words import mix, shingle_sets
 BINS = 1 << 20  # of the sketches: counts for the orders, bits for a reader's filter; both 1 to 4 MB at any size
 SLICE = 1 << 14
 ORDERS = 3
-ROUNDS = 4
+ROUNDS = 2
 PATIENCE = 4  # further leaders are tried while the pairs left are more than so many times the bucket rows
 
 
@@ -220,15 +220,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(c, label): a neighbour's neighbour that the classes of a group mostly agree on, the first in the leaders' order.
+
+    Classes of one label are linked; those of different ones may be. That is enough to leave pairs out.
+    """
+    rank = lambda c: F.struct(F.xxhash64(F.lit(0), c).alias("r"), F.col(c).alias("c"))
+    one = both_ways(edges).groupBy(F.col("a").alias("c")).agg(F.least(F.min(rank("b")), F.first(rank("a")))["c"].alias("label"))
+    jump = one.select(F.col("c").alias("label"), F.col("label").alias("next"))
+    return one.join(jump, "label").select("c", F.col("next").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(c, label) of every class with a link: the least name that its links reach. Labels spread along links and then jump to their label's label."""
-    both = kept_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = both_ways(edges)
     labels = kept_table(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("c").alias("b"), "label"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
         step = labels.join(near, "c").select("c", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = step.select(F.col("c").alias("label"), F.col("label").alias("next"))
-        made = kept_table(step.join(jump, "label", "left").select("c", F.least("label", "next").alias("label"), "old"), "labels")
+        jump = labels.select(F.col("c").alias("label"), F.col("label").alias("next"))
+        made = kept_table(step.join(jump, "label").select("c", F.least("label", "next").alias("label"), "old"), "labels")
         labels = made.select("c", "label")
         if made.filter("label <> old").isEmpty():
             return labels
@@ -264,8 +279,7 @@ def linked(docs: DataFrame, classes: DataFrame, levels: np.ndarray, id_col: str,
     buckets = kept_table(in_buckets(made).distinct(), "buckets")
     once = made.dropDuplicates(["c"])
     few = PATIENCE * buckets.count()
-    edges = labels = docs.sparkSession.createDataFrame([], "c bigint, label bigint")
-    edges = edges.select(F.col("c").alias("a"), F.col("label").alias("b"))
+    edges: DataFrame | None = None
     apart, last = buckets.withColumn("label", F.col("c")), False
     for round_ in range(ROUNDS + 1):
         last = round_ > 0 and (round_ == ROUNDS or pairs_left(apart) <= few)
@@ -274,9 +288,10 @@ def linked(docs: DataFrame, classes: DataFrame, levels: np.ndarray, id_col: str,
         if not pairs.isEmpty():
             wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
             sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
-            edges = edges.union(kept_table(verified(pairs, sets, percent), "links"))
-            labels = components(edges)
+            links = kept_table(verified(pairs, sets, percent), "links")
+            edges = links if edges is None else edges.union(links)
         if last:
             break
-        apart = buckets.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    return labels
+        if edges is not None:
+            apart = kept_table(buckets.join(near_labels(edges), "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
+    return docs.sparkSession.createDataFrame([], "c bigint, label bigint") if edges is None else components(edges)
