@@ -3,11 +3,13 @@
 Prefix filter under several global orders. Under any order of all n-grams, two sets that are similar enough share
 tokens in their prefixes of ``|x| - ceil(t |x|) + 1``; with the sizes of both known they share a certain number. Candidates come from
 buckets of the first order; the prefixes of the second and third order are intersected before any whole set is read.
-All orders put frequent n-grams last, by a count sketch of fixed size, and shuffle equal counts by their own seed.
+All orders put frequent n-grams last, by a count sketch of fixed size, and shuffle equal counts by their own seed. What stands before
+the first shared token of the first order is not shared, which bounds the overlap: a copy with many n-grams of its own meets nobody.
 
-Equal sets are one class. In a bucket every class first meets one leader only, so a group of many near copies yields a row per
-copy. Classes that are joined by then need no more pairs; those left apart meet all others of their bucket, so no link
-between different components is lost. Links make components; pairs within one are never all listed.
+Equal sets are one class. In a bucket every class first meets one leader only, the class with the fewest n-grams before the token, so a
+group of many near copies yields a row per copy and mostly meets its original. Classes that are joined by then need no more pairs; those
+left apart meet all others of their bucket, so no link between different components is lost. Links make components; pairs within one are
+never all listed.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from .words import mix, shingle_sets
 BINS = 1 << 20  # of the sketches: counts for the orders, bits for a reader's filter; both 1 to 4 MB at any size
 SLICE = 1 << 14
 ORDERS = 3
-ROUNDS = 2
-PATIENCE = 4  # further leaders are tried while the pairs left are more than so many times the bucket rows
 
 
 def class_id(grams: np.ndarray) -> int:
@@ -94,7 +94,7 @@ def prefix_length(n: int, percent: int) -> int:
 def prefixes(docs: DataFrame, text_col: str, size: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(c, n, p1, p2, p3): the prefixes of each class under the three orders; a class comes once per task.
 
-    The first holds whole hashes, the others 32 bits of each, which may join two tokens but never part equal ones.
+    The first holds whole hashes in their order, the others 32 bits of each, which may join two tokens but never part equal ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,11 @@ def prefixes(docs: DataFrame, text_col: str, size: int, percent: int, levels: np
                 level = levels[(grams >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
                 for k in range(ORDERS):
                     place = level | (mix(grams ^ np.uint64(k + 1)) >> np.uint64(6))
+                    if k == 0:  # equal places keep the order of the hashes, the same in every set
+                        lists[k].append(grams[np.argsort(place, kind="stable")[:take]].view(np.int64))
+                        continue
                     first = grams[np.argpartition(place, take - 1)[:take]] if take < len(grams) else grams
-                    lists[k].append(first.view(np.int64) if k == 0 else np.unique((first >> np.uint64(7)).astype(np.uint32)).view(np.int32))
+                    lists[k].append(np.unique((first >> np.uint64(7)).astype(np.uint32)).view(np.int32))
                 names.append(c)
                 sizes.append(len(grams))
             kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -127,9 +130,17 @@ def fits(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def can_overlap(a: str, apos: str, b: str, bpos: str, percent: int) -> Column:
+    """Whether sets whose first shared token stands at these places can share as much as their sizes ask for.
+
+    A pair over the threshold passes in the bucket of its first shared token; other buckets may leave it out.
+    """
+    return F.least(F.col(a) - F.col(apos), F.col(b) - F.col(bpos)) * (100 + percent) >= percent * (F.col(a) + F.col(b))
+
+
 def in_buckets(made: DataFrame) -> DataFrame:
-    """(token, c, n) of the first order for tokens of two classes or more. Counted with partial sums, so a hot token is no hot task."""
-    rows = made.select(F.explode("p1").alias("token"), "c", "n")
+    """(pos, token, c, n) of the first order for tokens of two classes or more. Counted with partial sums, so a hot token is no hot task."""
+    rows = made.select(F.posexplode("p1").alias("pos", "token"), "c", "n")
     shared = rows.groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("token")
     return rows.join(shared, "token", "left_semi")
 
@@ -154,28 +165,22 @@ def filtered(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     return both.filter(overlap_enough("p2", percent) & overlap_enough("p3", percent)).select("a", "b")
 
 
-def star_pairs(rows: DataFrame, percent: int, round_: int) -> DataFrame:
-    """(a, b): each class of a bucket with the bucket's leader, the class whose seeded hash is least."""
-    rank = F.struct(F.xxhash64(F.lit(round_), "c").alias("r"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    leaders = rows.groupBy("token").agg(F.min(rank).alias("lead")).select("token", "lead.*")
-    met = rows.join(leaders, "token").filter((F.col("label") != F.col("bl")) & fits("n", "bn", percent))
-    return met.select(F.col("c").alias("a"), "b").distinct()
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class of a bucket with the bucket's leader, the class with the least part of its set before the token."""
+    rank = F.struct((F.col("pos") / F.col("n")).alias("r"), F.xxhash64("c").alias("h"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"))
+    leaders = rows.groupBy("token").agg(F.min(rank).alias("lead")).select("token", "lead.b", "lead.bn", "lead.bpos")
+    met = rows.join(leaders, "token").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent) & can_overlap("n", "pos", "bn", "bpos", percent))
+    return met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the classes of a bucket that are still apart and whose sizes fit."""
-    other = rows.select("token", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    met = rows.join(other, "token").filter((F.col("c") < F.col("b")) & (F.col("label") != F.col("bl")) & fits("n", "bn", percent))
+    """(a, b): the classes of a bucket that are still apart and whose sizes and places fit."""
+    other = rows.select("token", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("label").alias("bl"))
+    apart = (F.col("c") < F.col("b")) & (F.col("label") != F.col("bl"))
+    met = rows.join(other, "token").filter(apart & fits("n", "bn", percent) & can_overlap("n", "pos", "bn", "bpos", percent))
     return met.select(F.col("c").alias("a"), "b").distinct()
 
 
-def pairs_left(rows: DataFrame) -> int:
-    """How many pairs of a bucket are still apart, over all buckets."""
-    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    sums = by_label.groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    return int(sums.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
-
-
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(c, grams) of the ``wanted`` classes, read from one document each.
 
@@ -224,17 +229,6 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def near_labels(edges: DataFrame) -> DataFrame:
-    """(c, label): a neighbour's neighbour that the classes of a group mostly agree on, the first in the leaders' order.
-
-    Classes of one label are linked; those of different ones may be. That is enough to leave pairs out.
-    """
-    rank = lambda c: F.struct(F.xxhash64(F.lit(0), c).alias("r"), F.col(c).alias("c"))
-    one = both_ways(edges).groupBy(F.col("a").alias("c")).agg(F.least(F.min(rank("b")), F.first(rank("a")))["c"].alias("label"))
-    jump = one.select(F.col("c").alias("label"), F.col("label").alias("next"))
-    return one.join(jump, "label").select("c", F.col("next").alias("label"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(c, label) of every class with a link: the least name that its links reach. Labels spread along links and then jump to their label's label."""
     both = both_ways(edges)
@@ -274,24 +268,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def linked(docs: DataFrame, classes: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(c, label) of every class with a link. Leaders first, for as long as many pairs are apart, then all pairs that still are."""
+    """(c, label) of every class with a link. Leaders first, then all pairs of a bucket that are still apart."""
     made = kept_table(prefixes(docs, text_col, size, percent, levels), "prefixes")
     buckets = kept_table(in_buckets(made).distinct(), "buckets")
     once = made.dropDuplicates(["c"])
-    few = PATIENCE * buckets.count()
-    edges: DataFrame | None = None
-    apart, last = buckets.withColumn("label", F.col("c")), False
-    for round_ in range(ROUNDS + 1):
-        last = round_ > 0 and (round_ == ROUNDS or pairs_left(apart) <= few)
-        found = all_pairs(apart, percent) if last else star_pairs(apart, percent, round_)
+
+    def links_of(found: DataFrame) -> DataFrame:
         pairs = kept_table(filtered(found, once, percent), "pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-            sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
-            links = kept_table(verified(pairs, sets, percent), "links")
-            edges = links if edges is None else edges.union(links)
-        if last:
-            break
-        if edges is not None:
-            apart = kept_table(buckets.join(near_labels(edges), "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
-    return docs.sparkSession.createDataFrame([], "c bigint, label bigint") if edges is None else components(edges)
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+        sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
+        return kept_table(verified(pairs, sets, percent), "links")
+
+    joined = components(links_of(star_pairs(buckets, percent)))
+    apart = kept_table(buckets.join(joined, "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
+    further = links_of(all_pairs(apart, percent))
+    return components(joined.filter("c <> label").select(F.col("c").alias("a"), F.col("label").alias("b")).union(further))

@@ -72,8 +72,8 @@ def test_join_equals_brute_force(spark, size, percent):
 
 
 def test_join_when_leaders_leave_many_apart(spark, monkeypatch):
-    """No leader rounds to speak of: the pairs that are apart are all met."""
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    """Leaders that meet nobody: the pairs that are apart are all met."""
+    monkeypatch.setattr(ngram_join, "star_pairs", lambda rows, percent: rows.select(F.col("c").alias("a"), F.col("c").alias("b")).filter("a <> b"))
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     rows = []
