@@ -125,6 +125,33 @@ def prefixes(docs: DataFrame, text_col: str, size: int, percent: int, levels: np
     return docs.select(text_col).mapInArrow(run, "c bigint, n int, p1 array<bigint>, p2 array<int>, p3 array<int>")
 
 
+def slot_of(name: str) -> Column:
+    """The place of a value in a bitmap."""
+    return F.shiftrightunsigned(F.xxhash64(name), 44).alias("slot")
+
+
+def marked_slots(rows: DataFrame, name: str) -> np.ndarray:
+    """The packed bitmap, of fixed size, of the values of a column."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, task = np.zeros(BINS, np.int64), 0
+        for batch in batches:
+            slots = np.asarray(batch.column(0), np.int64)
+            taken[slots] = 1
+            task = task or int(slots.sum() % 16) if len(slots) else task
+        parts = slices_of(taken)
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["at", "task", "data"])
+
+    return np.packbits(added(rows.select(slot_of(name)).mapInArrow(bits, "at int, task int, data binary")) > 0)
+
+
+def with_marks(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose last column, a slot, is marked."""
+    marked = np.unpackbits(bitmap).astype(bool)
+    for batch in batches:
+        yield batch.filter(pa.array(marked[np.asarray(batch.column(batch.num_columns - 1), np.int64)]))
+
+
 def fits(a: str, b: str, percent: int) -> Column:
     """Whether two sizes allow the threshold."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -159,8 +186,18 @@ def overlap_enough(p: str, percent: int) -> Column:
 
 
 def filtered(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose prefixes of every further order share enough tokens."""
-    side = lambda x: made.select(F.col("c").alias(x), F.col("n").alias(f"{x}n"), F.col("p2").alias(f"{x}p2"), F.col("p3").alias(f"{x}p3"))
+    """The (a, b) pairs whose prefixes of every further order share enough tokens.
+
+    A bitmap of fixed size keeps the prefixes of most other classes out of the shuffle; the joins that follow are exact.
+    """
+    bitmap = marked_slots(pairs.select(F.col("a").alias("c")).union(pairs.select("b")), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in with_marks(batches, bitmap):
+            yield part.select(["c", "n", "p2", "p3"])
+
+    once = made.select("c", "n", "p2", "p3", slot_of("c")).mapInArrow(run, "c bigint, n int, p2 array<int>, p3 array<int>").dropDuplicates(["c"])
+    side = lambda x: once.select(F.col("c").alias(x), F.col("n").alias(f"{x}n"), F.col("p2").alias(f"{x}p2"), F.col("p3").alias(f"{x}p3"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(overlap_enough("p2", percent) & overlap_enough("p3", percent)).select("a", "b")
 
@@ -187,23 +224,10 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
     A bitmap of fixed size keeps most other documents from being cut into n-grams; the join that follows is exact.
     """
     ids = classes.join(wanted, "c", "left_semi").select("c", "id")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken, task = np.zeros(BINS, np.int64), 0
-        for batch in batches:
-            slots = np.asarray(batch.column(0), np.int64)
-            taken[slots] = 1
-            task = task or int(slots.sum() % 16) if len(slots) else task
-        parts = slices_of(taken)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["at", "task", "data"])
-
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 44)
-    bitmap = np.packbits(added(ids.select(slot("id").alias("slot")).mapInArrow(bits, "at int, task int, data binary")) > 0)
+    bitmap = marked_slots(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(bitmap).astype(bool)
-        for batch in batches:
-            part = batch.filter(pa.array(marked[np.asarray(batch.column(2), np.int64)]))
+        for part in with_marks(batches, bitmap):
             for start in range(0, part.num_rows, 1000):
                 some = part.slice(start, 1000)
                 sets = [grams for _, grams in shingle_sets(some.column(1), size)]
@@ -212,10 +236,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(id_col, text_col, slot(id_col).alias("slot")).mapInArrow(run, f"id {kind}, c bigint, grams array<bigint>")
+    read = docs.select(id_col, text_col, slot_of(id_col)).mapInArrow(run, f"id {kind}, c bigint, grams array<bigint>")
     return read.join(ids, ["id", "c"], "left_semi").select("c", "grams")
 
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose whole sets reach the threshold, in whole numbers."""
     a = sets.select(F.col("c").alias("a"), F.col("grams").alias("ag"))
@@ -271,10 +294,9 @@ def linked(docs: DataFrame, classes: DataFrame, levels: np.ndarray, id_col: str,
     """(c, label) of every class with a link. Leaders first, then all pairs of a bucket that are still apart."""
     made = kept_table(prefixes(docs, text_col, size, percent, levels), "prefixes")
     buckets = kept_table(in_buckets(made).distinct(), "buckets")
-    once = made.dropDuplicates(["c"])
 
     def links_of(found: DataFrame) -> DataFrame:
-        pairs = kept_table(filtered(found, once, percent), "pairs")
+        pairs = kept_table(filtered(kept_table(found, "met"), made, percent), "pairs")
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
         return kept_table(verified(pairs, sets, percent), "links")
