@@ -25,9 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext  # the setting itself can't be changed in a running session
+    if not getattr(context, "_sparkledger_folder", None):
+        context._sparkledger_folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    return context._sparkledger_folder
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
