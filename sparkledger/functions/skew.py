@@ -71,6 +71,33 @@ def chunked_row_number(df: DataFrame, keys: list[str], pos: str, out: str, size:
     return chunked_running_sum(df, keys, pos, F.lit(1).cast("bigint"), out, size)
 
 
+def tree_row_number(df: DataFrame, at: str, order: Column, out: str, bits: int = 16) -> DataFrame:
+    """Number of each row over the whole table by ``order``, whose first part is the integer ``at``.
+
+    Rows are numbered within runs of 2^bits values of ``at``; the runs are counted, and their counts summed, level by level up to the
+    top of 64 bits. No window sees more than 2^bits nodes, nor more than the rows of one run, however sparse ``at`` is.
+    """
+    lead = F.col(at).cast("bigint")
+    rows = df.withColumn("_n0", F.shiftright(lead, bits))
+    inside = rows.withColumn("_run", F.row_number().over(W.partitionBy("_n0").orderBy(order)))
+    counts = [rows.groupBy("_n0").agg(F.count(F.lit(1)).alias("_c0"))]
+    tops = -(-64 // bits) - 1
+    for k in range(1, tops):
+        up = F.shiftright(F.col(f"_n{k - 1}"), bits).alias(f"_n{k}")
+        counts.append(counts[-1].groupBy(up).agg(F.sum(f"_c{k - 1}").alias(f"_c{k}")))
+    before = None
+    for k in range(tops - 1, -1, -1):
+        # The nodes of the top level, at most 2^bits, share one parent.
+        parent = F.shiftright(F.col(f"_n{k}"), bits) if k < tops - 1 else F.lit(0)
+        nodes = counts[k].withColumn("_up", parent)
+        sums = F.coalesce(F.sum(f"_c{k}").over(W.partitionBy("_up").orderBy(f"_n{k}").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        nodes = nodes.withColumn("_sum", sums)
+        if before is not None:
+            nodes = nodes.join(before.withColumnRenamed(f"_n{k + 1}", "_up"), "_up").withColumn("_sum", F.col("_sum") + F.col("_before"))
+        before = nodes.select(f"_n{k}", F.col("_sum").alias("_before"))
+    return inside.join(before, "_n0").withColumn(out, F.col("_before") + F.col("_run")).select(*df.columns, out)
+
+
 def chunked_fill_forward(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, size: int = CHUNK) -> DataFrame:
     """Last non-null ``value`` at or before each row, in ``pos`` order within ``keys``."""
     cut = df.withColumn("_v", value).withColumn("_chunk", _chunk(pos, size))

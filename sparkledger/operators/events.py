@@ -376,11 +376,13 @@ def rule_candidates(events: DataFrame, tenant: str, limit: int | None = None) ->
     aliases = rows.select(*group, "seq", "at", F.posexplode(T.split_aliases("raw_alias", "[、,，]")).alias("k", "v")).select(*group, "v", F.struct("seq", "at", "k").alias("o"))
     plain = lambda c: rows.select(*group, F.col(c).alias("v"), F.struct("seq", "at").alias("o"))
     lists = [listing(aliases, "raw_alias"), listing(plain("company_name"), "company_names"), listing(plain("case_id"), "case_ids"), listing(plain("draft_id"), "draft_ids")]
-    joined = reduce(lambda a, b: a.join(b, group, "left"), lists, heads)
-    # Groups are few beside the reports: one row for each candidate is numbered here.
-    number = F.row_number().over(W.orderBy("first_pos"))
+    # Numbered before the lists come in, so that only the keys are read again for the counts.
+    placed = skew.tree_row_number(heads.withColumn("first_seq", F.col("first_pos.seq")), "first_seq", F.col("first_pos"), "number")
+    joined = reduce(lambda a, b: a.join(b, group, "left"), lists, placed)
+    # At least four digits, and all of them where there are more.
+    digits = F.col("number").cast("string")
     return joined.select(
-        F.concat(F.lit("cand-"), F.lpad(number.cast("string"), 4, "0")).alias("candidate_id"), F.lit(tenant).alias("tenant"), F.lit("pending_review").alias("status"),
+        F.concat(F.lit("cand-"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), "0")).alias("candidate_id"), F.lit(tenant).alias("tenant"), F.lit("pending_review").alias("status"),
         "raw_alias", "normalized_invoice_name", "tax_category", "tax_code", "tax_treatment_or_rate", "decision_basis", "confidence",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("company_names", "case_ids", "draft_ids")], "evidence_count", "first_seen_at", "last_seen_at",
     ).orderBy(F.desc("evidence_count"), "raw_alias")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkledger.functions import skew
 from sparkledger.operators import events, matching, profiles, quality
 from sparkledger.streaming import jobs
 
@@ -63,3 +64,20 @@ def test_all_reports_make_candidates(spark):
     log = spark.createDataFrame(rows, "tenant string, seq bigint, event_id string, draft_id string, event_type string, received_at string, payload string, case_id string")
     assert events.rule_candidates(log, "t").count() == 5200
     assert events.rule_candidates(log, "t", limit=5).count() == 5
+
+
+def test_candidates_past_four_digits_keep_their_own_ids(spark):
+    rules = [",".join(f'{{"raw_alias":"a{i * 1001 + k}","tax_category":"c"}}' for k in range(1001)) for i in range(10)]
+    rows = [("t", (i - 2) * 2**33, f"e{i}", "d", "local_learned_rules_saved", f"2024-01-{i + 1:02d}", f'{{"rules":[{r}]}}', "c") for i, r in enumerate(rules)]
+    log = spark.createDataFrame(rows, "tenant string, seq bigint, event_id string, draft_id string, event_type string, received_at string, payload string, case_id string")
+    got = {r.raw_alias: r.candidate_id for r in events.rule_candidates(log, "t").select("raw_alias", "candidate_id").collect()}
+    assert got == {f"a{i}": f"cand-{i + 1:04d}" for i in range(10010)}
+    assert got["a9999"] == "cand-10000" and got["a999"] == "cand-1000"
+
+
+def test_numbers_over_sparse_and_dense_positions(spark):
+    places = sorted({*range(-70, 300), *(k * 10**14 - 5 * 10**17 for k in range(10000)), -(2**63), 2**63 - 1})
+    df = spark.createDataFrame([(p,) for p in places], "at bigint").repartition(7)
+    for bits in (4, 16):
+        got = {r.at: r.n for r in skew.tree_row_number(df, "at", F.col("at"), "n", bits).collect()}
+        assert got == {p: i + 1 for i, p in enumerate(places)}
