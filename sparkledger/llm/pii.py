@@ -98,10 +98,18 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for found in IBAN.finditer(text):
-        account = found.group().replace(" ", "")
-        if 15 <= len(account) <= 34 and mod_97(account):
-            yield found.span()
+    """The pattern proposes the longest span; where that fails, its shorter ends at a blank are tested, longest first.
+
+    The search goes on behind an account, or behind the first group of a span without one, so a span uses up no other account.
+    """
+    found = IBAN.search(text)
+    while found:
+        start, end = found.span()
+        while end > start and not (15 <= len(account := text[start:end].replace(" ", "")) <= 34 and mod_97(account)):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            yield start, end
+        found = IBAN.search(text, max(end, start + 4))
 
 
 def nationals(text: str) -> Iterator[tuple[int, int]]:

@@ -119,6 +119,19 @@ def test_pii_adds_confirmed_spans():
     assert pii.find_spans("number 123-45-6789 of the list") == []
 
 
+def test_pii_accounts_before_other_tokens():
+    accounts = ["ES9121000418450200051332", "AT611904300234573201", "CZ6508000000192000145399", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    for account in accounts:
+        for after in ("", " EUR 50", " EUR", " BANK AB", " 2024", " 2024 BANK", " EURO99", " NR12 ABCD 1234", ", EUR", "\n2024"):
+            for before in ("account ", "account AB12 ", "NR12 ABCD 1234 "):
+                text = before + account + after
+                assert [text[a:b] for a, b in pii.ibans(text)] == [account], text
+    for text in (" ".join(accounts), " EUR ".join(accounts)):
+        assert [text[a:b] for a, b in pii.ibans(text)] == accounts
+    assert not list(pii.ibans("account ES9121000418450200051333 EUR"))
+    assert len(list(pii.ibans("ES91 2100 0418 4502 0005 1333 " * 20000))) == 0
+
+
 def test_pii_rows(odd_docs, no_docs):
     assert pii.find_pii(odd_docs).count() == odd_docs.count()
     assert pii.find_pii(no_docs).count() == 0
