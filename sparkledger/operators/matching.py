@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions import text as T
+from . import history
 from .coding import LINE
 from .quality import sheet_money  # noqa: F401  (re-exported for sheet writers)
 from .standardize import split_parts_name
@@ -111,6 +112,27 @@ def match_requests(requests: DataFrame, invoices: DataFrame, most: int | None =
     return taken.join(failed, "doc_id", "left_anti")
 
 
+def lines_without_invoices(requests: DataFrame, invoices: DataFrame, rows: DataFrame, pos: str = "pos") -> DataFrame:
+    """The other form of :func:`match_requests`: where no invoice can be used, each request gives a line, filled from history.
+
+    ``requests`` as of ``extract.platform_invoice_blocks``; ``rows`` as :func:`history.apply_history` takes them, by the scope of the
+    requests. An invoice can be used when it is positive and, with ``line_count`` given, has lines; ``invoices`` with a doc_id
+    count for their document, else for all.
+    """
+    usable = invoices.filter("is_positive")
+    if "line_count" in invoices.columns:
+        usable = usable.filter(F.col("line_count") > 0)
+    if "doc_id" in invoices.columns:
+        bare = requests.join(usable.select("doc_id").distinct(), "doc_id", "left_anti")
+    else:
+        bare = requests.filter(usable.agg(F.count(F.lit(1)) == 0).scalar())
+    # The rate and the name are all the text that history looks at.
+    asked = bare.withColumn("text_id", F.concat_ws("\n", T.or_none("project_name"), T.or_none("tax_rate")))
+    texts = asked.select("text_id", F.col("text_id").alias("text")).distinct()
+    excerpt = F.concat(F.lit("平台开票截图直接生成草稿；来源图片 "), "source_name", F.lit("；含税金额 "), T.first_filled("amount_with_tax", default="待补全"), F.lit("；客户档案用于补充常用项目/税码。"))
+    return history.apply_history(asked, rows, texts, pos).withColumn("source_excerpt", excerpt).drop("text_id", "scope")
+
+
 TARGETS = (
     r"开这个数\s*(\d{2,}(?:\.\d{1,2})?)",
     r"按(?:这个|新)?(?:金额|数)\s*(\d{2,}(?:\.\d{1,2})?)\s*重开",

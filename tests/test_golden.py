@@ -125,6 +125,38 @@ def test_platform_blocks(spark):
     assert rows[1].buyer_name == "沈阳甲有限公司" and rows[1].buyer_tax_id == "91210102MA0ABCDE12" and rows[2].order_no == "123456789012"
 
 
+def test_requests_without_invoices_make_lines(spark):
+    head = "购买方信息\n{}\n纳税人识别号 {}\n销售方信息 92210102MA0ABCDE34\n开票信息\n发票类型 {}\n{}"
+    texts = [
+        ("d1", 1, "01_a.png", head.format("北京乙网络技术有限公司", "91110108MA0ABCDE12", "增值税专票 3%", "*现代服务*技术支持服务费 ¥ 9 合计 ￥100.505\n账单ID）20260102030405060708")),
+        ("d1", 2, "02_b.png", head.format("大连丙贸易有限公司", "", "普票", "*现代服务*信息咨询服务费 ¥25")),
+        ("d1", 3, "c.png", "别的 服务费 ¥25"),
+        ("d2", 1, "d.png", head.format("大连丙贸易有限公司", "", "普通发票 免税", "")),
+    ]
+    blocks = spark.createDataFrame([(d, b, "甲", s, t) for d, b, s, t in texts], "doc_id string, block int, company_name string, source_name string, text string")
+    # Written out between the steps, so that each is planned once.
+    kept = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    asked = kept(extract.platform_invoice_blocks(blocks))
+    projects = spark.createDataFrame(
+        [("甲", "1", "信息咨询服务费", "现代服务", "3049900000000000000", "1%", "次", "", "1", 5), ("甲", "1", "推广服务费", "广告服务", "3040300000000000000", "6%", "项", "", "1", 9)],
+        "seller_name string, seller_tax_id string, project_name string, tax_category string, tax_code string, tax_rate string, unit string, specification string, quantity string, line_count bigint")
+    buyers = spark.createDataFrame([("甲", "1", "别家", "", 1)], "seller_name string, seller_tax_id string, buyer_name string, buyer_tax_id string, line_count bigint")
+    rows = history.profile_rows(asked, projects, buyers).withColumn("pos", -F.col("line_count"))
+    rows = kept(history.ranked_rows(rows, ["pos"]))
+    invoices = spark.createDataFrame([("d2", "i1", True), ("d1", "i2", False)], "doc_id string, invoice_no string, is_positive boolean")
+    made = lambda inv: {(r.doc_id, r.block): r for r in matching.lines_without_invoices(asked, inv, rows).collect()}
+    got = made(invoices)
+    assert set(got) == {("d1", 1), ("d1", 2)}
+    one, two = got["d1", 1], got["d1", 2]
+    assert (one.source_name, one.buyer_name, one.buyer_tax_id, one.invoice_kind, one.note) == ("a.png", "北京乙网络技术有限公司", "91110108MA0ABCDE12", "增值税专用发票", "202601020304050607")
+    # A weak name takes that of the history, and its code; the rate stated in the request stays.
+    assert (one.project_name, one.amount_with_tax, one.tax_rate, one.tax_category, one.tax_code, one.unit, one.quantity) == ("推广服务费", "100.50", "6%", "现代服务", "3040300000000000000", "项", "1")
+    assert (two.project_name, two.amount_with_tax, two.tax_rate, two.tax_code, two.invoice_kind, two.buyer_tax_id) == ("信息咨询服务费", "25.00", "1%", "3049900000000000000", "普通发票", "")
+    assert "历史开票档案精确匹配" in two.coding_reference and "b.png；含税金额 25.00" in two.source_excerpt
+    rest = {(r.doc_id, r.block): r for r in asked.collect()}["d2", 1]
+    assert (rest.amount_with_tax, rest.tax_rate, rest.project_name, rest.note) == ("", "免税", "服务费", "")
+
+
 def test_sheet_rate_header(spark):
     rows = [("s", 0, 0, ["工程清单"]), ("s", 0, 1, ["序号", "清单名称", "规格/项目特征", "单位", "数量", "含税总价(元)", "税率(%)"]), ("s", 0, 2, ["1", "1、钢板", "x", "", "2.50", "100", "1"]), ("s", 0, 3, ["", "合计", "", "", "", "100", ""])]
     got = extract.table_to_lines(spark.createDataFrame(rows, "source string, sheet int, row bigint, cells array<string>")).collect()
