@@ -215,7 +215,7 @@ def _ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: list[
 
 
 def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id"), most_capabilities: int = 8, most_tasks: int = 6) -> DataFrame:
-    """Nine phases per case: worst state (the later of equals), last time, actions, capabilities, model use."""
+    """Nine phases per case: worst state (the later of equals), last time, actions, capabilities, model use, and the action of each event in trouble."""
     by = list(keys)
     o = observations(events)
     none = F.array().cast("array<string>")
@@ -238,6 +238,7 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
     severity = F.coalesce(_map(SEVERITY, F.col("status")), F.lit(1))
     at = F.struct("seq", "sub")
     provider = F.when(F.col("own"), T.or_none("llm_provider"))
+    troubled = F.col("own") & F.col("status").isin("warning", "blocked", "failed", "no_change")
     base = parts.groupBy(*group).agg(
         F.max_by("status", F.struct(severity, "seq", "sub")).alias("status"),
         F.max_by("created_at", at).alias("last_at"),
@@ -245,7 +246,8 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
         F.sum(F.when(F.col("own"), F.col("llm_success")).otherwise(0)).alias("llm_success"),
         F.sum(F.when(F.col("own"), F.col("llm_failed")).otherwise(0)).alias("llm_failed"),
         F.coalesce(F.min_by(provider, F.when(provider.isNotNull(), F.col("seq"))), F.lit("")).alias("llm_provider"),
-        F.count_if(F.col("own") & F.col("status").isin("warning", "blocked", "failed", "no_change")).alias("detail_count"),
+        F.count_if(troubled).alias("detail_count"),
+        F.transform(F.array_sort(F.collect_list(F.when(troubled, F.struct("seq", "action")))), lambda x: x["action"]).alias("details"),
     )
     # Actions, capabilities and tasks go through one pass: first sight of each value, then the first few per kind.
     fact = lambda kind, values: F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("at")))
@@ -265,7 +267,7 @@ def workflow_steps(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_i
     status = F.coalesce("status", F.lit("pending"))
     return out.select(
         *by, "step_no", "phase", "label", status.alias("status"), F.coalesce(_map(STATE_LABELS, status), status).alias("status_label"),
-        F.coalesce("last_at", F.lit("")).alias("last_at"), *[F.coalesce(c, empty).alias(c) for c in ("actions", "capabilities", "llm_tasks")],
+        F.coalesce("last_at", F.lit("")).alias("last_at"), *[F.coalesce(c, empty).alias(c) for c in ("actions", "capabilities", "llm_tasks", "details")],
         F.coalesce("llm_attempted", F.lit(False)).alias("llm_attempted"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("llm_success", "llm_failed", "detail_count")],
         F.coalesce("llm_provider", F.lit("")).alias("llm_provider"),
     )

@@ -157,6 +157,32 @@ def test_requests_without_invoices_make_lines(spark):
     assert (rest.amount_with_tax, rest.tax_rate, rest.project_name, rest.note) == ("", "免税", "服务费", "")
 
 
+def test_stated_amount_takes_the_place_of_the_line(spark):
+    texts = [("one", "这次开票金额 880.5元", ""), ("two", "这次开票金额 880元", ""), ("both", "这次 100元，不对，是 90元", ""), ("fix", "1580", "车辆维修 税率 13%"), ("none", "改成 1580", "汽修 6 %"),
+             ("far", "编号 123 是以前说过的那一张单子里面写着的东西，别的什么都没有变", "汽修"), ("id", "A12345 的材料", "汽修")]
+    items = [("one", 3, "螺栓", "35", "", ""), ("two", 1, "螺栓", "35", "3%", ""), ("two", 2, "纸箱", "35", "3%", ""), ("both", 1, "螺栓", "35", "3%", ""), ("fix", 1, "机油", "35", "3%", "桶"), ("fix", 2, "维修", "35", "", ""), ("far", 1, "螺栓", "35", "3%", "")]
+    lines = spark.createDataFrame([(d, 1, n, a, m, r, u) for d, n, a, m, r, u in items], "doc_id string, strategy int, n bigint, project_name string, amount_with_tax string, tax_rate string, unit string")
+    lines = lines.withColumns({c: F.lit("") for c in LINE if c not in lines.columns})
+    out = extract.apply_stated_amount(lines, spark.createDataFrame(texts, "doc_id string, raw_text string, reference_text string"))
+    got = {(r.doc_id, r.n): (r.project_name, r.amount_with_tax, r.tax_rate, r.unit, r.quantity) for r in out.collect()}
+    assert out.columns == lines.columns and got == {
+        ("one", 3): ("螺栓", "880.5", "1%", "项", "1"), ("two", 1): ("螺栓", "35", "3%", "", ""), ("two", 2): ("纸箱", "35", "3%", "", ""), ("both", 1): ("螺栓", "35", "3%", "", ""),
+        ("fix", 1): ("机油", "35", "3%", "桶", ""), ("fix", 2): ("维修", "1580", "13%", "项", "1"), ("none", 1): ("维修费", "1580", "6%", "项", "1"), ("far", 1): ("螺栓", "35", "3%", "", "")}
+
+
+def test_source_name_of_a_note(spark):
+    notes = spark.createDataFrame([("x；来源图片：a b.png ；订单号：1",), ("来源图片：",), ("别的",), (None,)], "note string")
+    assert [r[0] for r in notes.select(extract.source_name_of("note")).collect()] == ["a b.png", "", "", ""]
+
+
+def test_steps_list_the_actions_in_trouble(spark):
+    kinds = ["failure_report_uploaded", "failure_repairs_applied", "failure_report_uploaded", "batch_run_finished"]
+    rows = [("t", "c", i, f"e{i}", "d", "b", k, f"2024-01-01T00:00:0{i}", "{}") for i, k in enumerate(kinds)]
+    log = spark.createDataFrame(rows, "tenant string, case_id string, seq bigint, event_id string, draft_id string, batch_id string, event_type string, created_at string, payload string")
+    got = {r.phase: (r.details, r.detail_count) for r in ev.workflow_steps(log).collect()}
+    assert got["repair"] == (["上传/解析税局失败明细"] * 2, 2) and got["tax"] == (["税局返回处理结果"], 1) and got["draft"] == ([], 0)
+
+
 def test_sheet_rate_header(spark):
     rows = [("s", 0, 0, ["工程清单"]), ("s", 0, 1, ["序号", "清单名称", "规格/项目特征", "单位", "数量", "含税总价(元)", "税率(%)"]), ("s", 0, 2, ["1", "1、钢板", "x", "", "2.50", "100", "1"]), ("s", 0, 3, ["", "合计", "", "", "", "100", ""])]
     got = extract.table_to_lines(spark.createDataFrame(rows, "source string, sheet int, row bigint, cells array<string>")).collect()
