@@ -56,7 +56,8 @@ QUICK = {
     "assign": r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
-    "service": r"[_-][A-Za-z0-9_-]{20}",
+    # The longest prefix leaves 18 of the 24 characters to what follows its separator.
+    "service": r"[_-][A-Za-z0-9_-]{18}",
     "signed": r"eyJ[A-Za-z0-9_-]",
 }
 

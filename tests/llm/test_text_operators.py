@@ -159,6 +159,13 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secrets.scan_secrets(no_docs).count() == 0
 
 
+def test_secrets_shortest_service_tokens(spark):
+    heads = ["ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "rk_", "pk_"]
+    rows = [(10 * i + size - 23, f"see {head}{'Qz7' * 8}"[: 4 + size], f"s{i}") for i, head in enumerate(heads) for size in (23, 24, 25)]
+    got = {r.doc_id: len(r.spans) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {i: int(i % 10 > 0) for i, *_ in rows}
+
+
 def test_secrets_ownership(spark):
     shared, own = "ghp_" + "a1B2" * 8, "ghp_" + "z9Y8" * 8
     rows = [(i, f"use {shared}", f"o{i}", f"r{i}") for i in range(3)] + [(9, f"use {own} and token={shared}", "o9", "r9")]
