@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, host_rules, lang_kernel, line_dedup, mixing, ngram_join, pii, quality_fm, secrets
+from . import bpe, fingerprints, host_rules, importance, lang_kernel, line_dedup, minhash, mixing, ngram_join, pii, quality_fm, secrets, spelling
 from .shared import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,18 @@ def op10(spark, sf_dir):
         "near_next",
         "n_shingles",
     )
+
+
+@query("op11_minhash")
+def op11(spark, sf_dir):
+    return minhash.deduplicate(documents(spark, sf_dir), size=4, percent=80)
+
+
+@query("op12_importance")
+def op12(spark, sf_dir):
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5, least_words=20, seed=42)
+
+
+@query("op13_spelling")
+def op13(spark, sf_dir):
+    return spelling.group_variants(documents(spark, sf_dir), modulus=199)

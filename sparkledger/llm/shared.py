@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The white space of the word and line rules: blank and the controls 09 to 0D.
@@ -39,6 +40,26 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], out: str, upto: Column | None = None) -> DataFrame:
+    """Numbers rows from 1 over the whole table by ``order``, columns given by name; with ``upto``, numbers beyond it are null.
+
+    Rows are cut into ranges of the order, written, and numbered within their range; a row per range carries the counts on.
+    No window sees more than one range, and ranges that start beyond ``upto`` are not sorted at all.
+    """
+    placed = kept_table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_count"))
+    # One row for each range: as many as a shuffle has partitions.
+    before = F.coalesce(F.sum("_count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = kept_table(counts.select("_range", before.alias("_before")), "starts")
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    known = placed.join(F.broadcast(starts), "_range")
+    limit = upto if upto is not None else F.lit(2**63 - 1)
+    number = F.col("_before") + inside
+    near = known.filter(F.col("_before") < limit).withColumn(out, number).withColumn(out, F.when(F.col(out) <= limit, F.col(out)))
+    far = known.filter(F.coalesce(F.col("_before") >= limit, F.lit(True))).withColumn(out, F.lit(None).cast("bigint"))
+    return near.unionByName(far).select(*df.columns, out)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; the plain ``lower`` does it where a text is ASCII only."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
