@@ -164,45 +164,94 @@ def case_status(kind: Column, p: str = "p") -> Column:
     )
 
 
-def summary_columns(kind: str = "event_type") -> list[Column]:
-    """Aggregates of one case over its events with parsed payload ``p`` and arrival order ``seq``."""
+def summary_parts(kind: str = "event_type") -> list[tuple[str, str, Column, Column | None]]:
+    """What a case's state is made of: (name, fold, value, condition) over events with parsed payload ``p`` and arrival order ``seq``.
+
+    ``last`` and ``first`` keep a value with its arrival number, ``sum`` and ``any`` only the value. All of them merge: the fold of two folds is the
+    fold of all events, in any order and any grouping.
+    """
     k = F.col(kind)
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    known = lambda c: (c, c.isNotNull())
     finished = k == "batch_run_finished"
     items = F.coalesce(F.when(F.col("p.item_count") != 0, F.col("p.item_count")), size("p.items").cast("bigint"))
-    status = case_status(k)
-    text = lambda c, default="": F.coalesce(c, F.lit(default))
+    runs = k.isin("batch_run_queued", "batch_run_finished") & ~T.is_blank("p.run_id")
     return [
-        text(F.coalesce(_last(T.or_none("draft_id")), _first(T.or_none("p.draft_id")))).alias("draft_id"),
-        text(F.coalesce(_last(T.or_none("batch_id")), _first(T.or_none("p.batch_id")))).alias("batch_id"),
-        F.min_by("created_at", "seq").alias("created_at"),
-        F.max_by("created_at", "seq").alias("last_at"),
-        F.max_by("received_at", "seq").alias("last_received_at"),
-        text(_last(T.or_none("p.company_name"))).alias("company_name"),
-        text(_last(F.coalesce(T.or_none("p.buyer.name"), T.or_none("p.buyer_name")))).alias("buyer_name"),
-        text(_last(material_type()), "未记录").alias("material_type"),
-        F.coalesce(_last(items, k.isin(*BATCH_CREATED) & (items > 0)), F.lit(1)).alias("invoice_count"),
-        F.coalesce(_last(size("p.lines"), size("p.lines") > 0), F.lit(0)).alias("line_count"),
-        text(_last(T.or_none("p.extract_strategy"))).alias("extract_strategy"),
-        text(_last(T.or_none("p.llm_provider"))).alias("llm_provider"),
-        F.sum(F.when(k == "manual_edits_recorded", size("p.diffs")).otherwise(0)).alias("manual_edit_count"),
-        F.coalesce(_last(_count("p.error_count"), k.isin(*EXPORTED)), F.lit(0)).alias("export_error_count"),
-        F.coalesce(_last(_count("p.warning_count"), k.isin(*EXPORTED)), F.lit(0)).alias("export_warning_count"),
-        text(_last(T.or_none("p.run_id"), k.isin("batch_run_queued", "batch_run_finished") & ~T.is_blank("p.run_id"))).alias("run_id"),
-        text(_last(F.coalesce("p.status", F.lit("")), finished)).alias("run_status"),
-        F.coalesce(_last(_count("p.failure_count"), finished), F.lit(0)).alias("failure_count"),
-        F.coalesce(_last(F.coalesce("p.preview_clicked", F.lit(False)), finished), F.lit(False)).alias("preview_reached"),
-        F.bool_or(k.isin(*CONFIRMED)).alias("assistant_confirmed"),
-        F.coalesce(_last(status), F.struct(F.lit("created").alias("status"), F.lit("已创建").alias("label"))).alias("_status"),
-        F.max_by(kind, "seq").alias("last_event_type"),
-        F.count(F.lit(1)).alias("event_count"),
+        ("draft_last", "last", *known(T.or_none("draft_id"))),
+        ("draft_first", "first", *known(T.or_none("p.draft_id"))),
+        ("batch_last", "last", *known(T.or_none("batch_id"))),
+        ("batch_first", "first", *known(T.or_none("p.batch_id"))),
+        ("created", "first", F.col("created_at"), None),
+        ("latest", "last", F.struct(F.col("created_at"), F.col("received_at"), k.alias("kind")), None),
+        ("company", "last", *known(T.or_none("p.company_name"))),
+        ("buyer", "last", *known(F.coalesce(T.or_none("p.buyer.name"), T.or_none("p.buyer_name")))),
+        ("material", "last", *known(material_type())),
+        ("invoices", "last", items, k.isin(*BATCH_CREATED) & (items > 0)),
+        ("lines", "last", size("p.lines"), size("p.lines") > 0),
+        ("strategy", "last", *known(T.or_none("p.extract_strategy"))),
+        ("provider", "last", *known(T.or_none("p.llm_provider"))),
+        ("edits", "sum", F.when(k == "manual_edits_recorded", size("p.diffs")).otherwise(0), None),
+        ("exported", "last", F.struct(_count("p.error_count").alias("errors"), _count("p.warning_count").alias("warnings")), k.isin(*EXPORTED)),
+        ("run", "last", T.or_none("p.run_id"), runs),
+        ("finished", "last", F.struct(F.coalesce("p.status", F.lit("")).alias("status"), _count("p.failure_count").alias("failures"), F.coalesce("p.preview_clicked", F.lit(False)).alias("preview")), finished),
+        ("confirmed", "any", k.isin(*CONFIRMED), None),
+        ("state", "last", *known(case_status(k))),
+        ("events", "sum", F.lit(1).cast("bigint"), None),
     ]
 
 
+FOLDS = {"last": F.max, "first": F.min, "sum": F.sum, "any": F.bool_or}
+
+
+def partial_states(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
+    """One row of mergeable parts for every case in ``events``."""
+    folds = []
+    for name, fold, value, when in summary_parts():
+        kept = value if fold in ("sum", "any") else F.struct(F.col("seq").alias("at"), value.alias("v"))
+        folds.append(FOLDS[fold](kept if when is None else F.when(when, kept)).alias(name))
+    return parse_payload(events).groupBy(*keys).agg(*folds)
+
+
+def merge_states(states: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
+    """The parts of each case as one row again, from any number of partial rows."""
+    return states.groupBy(*keys).agg(*[FOLDS[fold](name).alias(name) for name, fold, _, _ in summary_parts()])
+
+
+def finish_states(states: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
+    """The case summary that merged parts stand for."""
+    text = lambda c, default="": F.coalesce(c, F.lit(default))
+    return states.select(
+        *keys,
+        text(F.coalesce("draft_last.v", "draft_first.v")).alias("draft_id"),
+        text(F.coalesce("batch_last.v", "batch_first.v")).alias("batch_id"),
+        F.col("created.v").alias("created_at"),
+        F.col("latest.v.created_at").alias("last_at"),
+        F.col("latest.v.received_at").alias("last_received_at"),
+        text(F.col("company.v")).alias("company_name"),
+        text(F.col("buyer.v")).alias("buyer_name"),
+        text(F.col("material.v"), "未记录").alias("material_type"),
+        F.coalesce("invoices.v", F.lit(1)).alias("invoice_count"),
+        F.coalesce("lines.v", F.lit(0)).alias("line_count"),
+        text(F.col("strategy.v")).alias("extract_strategy"),
+        text(F.col("provider.v")).alias("llm_provider"),
+        F.col("edits").alias("manual_edit_count"),
+        F.coalesce("exported.v.errors", F.lit(0)).alias("export_error_count"),
+        F.coalesce("exported.v.warnings", F.lit(0)).alias("export_warning_count"),
+        text(F.col("run.v")).alias("run_id"),
+        text(F.col("finished.v.status")).alias("run_status"),
+        F.coalesce("finished.v.failures", F.lit(0)).alias("failure_count"),
+        F.coalesce("finished.v.preview", F.lit(False)).alias("preview_reached"),
+        F.col("confirmed").alias("assistant_confirmed"),
+        F.col("latest.v.kind").alias("last_event_type"),
+        F.col("events").alias("event_count"),
+        F.coalesce("state.v.status", F.lit("created")).alias("status"),
+        F.coalesce("state.v.label", F.lit("已创建")).alias("status_label"),
+    )
+
+
 def case_summary(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
     """State of every case from its events in arrival order."""
-    out = parse_payload(events).groupBy(*keys).agg(*summary_columns())
-    return out.select("*", F.col("_status.status").alias("status"), F.col("_status.label").alias("status_label")).drop("_status")
+    return finish_states(partial_states(events, keys), keys)
 
 
 def _ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: list[str], n: int, out: str, last: bool = False) -> DataFrame:
@@ -322,6 +371,13 @@ def case_timeline(events: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id
     return skew.chunked_row_number(events, list(keys), "seq", "position", size)
 
 
+def last_observations(events: DataFrame, n: int = 16, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
+    """The last ``n`` observations of each case, numbered from the oldest of them."""
+    last = skew.top_n(events, list(keys), [F.desc("seq")], n, "_back")
+    kept = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"))
+    return observations(last).join(kept, list(keys)).withColumn("position", (F.col("_many") - F.col("_back") + 1).cast("int")).drop("_back", "_many")
+
+
 def last_events(events: DataFrame, n: int = 12, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
     return skew.top_n(events, list(keys), [F.desc("seq")], n)
 

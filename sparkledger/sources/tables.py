@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
 from ..functions import text as T
+from ..operators.coding import coding_states
 from ..operators.standardize import split_full_name
+from .keyed import KeyedTable, replace_by_key  # noqa: F401
+from .positions import with_file_columns, with_positions
 
 
 def _strings(names: str) -> St.StructType:
@@ -93,10 +97,48 @@ def history_rows(raw: DataFrame) -> DataFrame:
     return kept.withColumns({c: T.parse_money(F.col(c).cast("string")).cast("decimal(18,2)") for c in HISTORY_MONEY})
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Line export as CSV; the file path and the place in the file order the rows."""
-    raw = spark.read.option("header", True).csv(path)
-    return history_rows(raw.withColumns({"source_file": F.col("_metadata.file_path"), "line_key": F.col("_metadata.file_block_start")}))
+#: Cells that a row of an export is read with; the official export has 21.
+MOST_CELLS = 64
+
+
+def _history_cells(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """(source_file, line_no, cells) of all rows of all files, blank rows aside; the header is row 1 of its file."""
+    names = [f"_{i}" for i in range(MOST_CELLS)]
+    raw = spark.read.schema(_strings(" ".join(names))).option("header", False).option("multiLine", multi_line).option("escape", '"').csv(path)
+    rows = with_positions(with_file_columns(raw))
+    return rows.select("source_file", "line_no", F.array(*[F.col(n) for n in names]).alias("cells"))
+
+
+def _history_headers(cells: DataFrame) -> DataFrame:
+    """Per file: the place of every official header (0: absent) and the required ones that it lacks."""
+    first = cells.filter("line_no = 1").select("source_file", F.transform("cells", lambda c: F.regexp_replace(T.strip(F.coalesce(c, F.lit(""))), "^\ufeff", "")).alias("h"))
+    places = F.array(*[F.coalesce(F.array_position("h", h), F.lit(0)).cast("int") for h in HISTORY_HEADERS])
+    lacking = F.array_compact(F.array(*[F.when(~F.array_contains("h", h), F.lit(h)) for h in sorted(REQUIRED_HISTORY)]))
+    return first.select("source_file", places.alias("places"), lacking.alias("missing"))
+
+
+def read_history(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Line exports as CSV, each file by its own header; ``line_key`` is the row's number in its file, the header being 1.
+
+    Files may order and omit columns as they like. A file that lacks a required header gives no rows; :func:`history_files` names
+    it. ``multi_line`` reads values with line breaks; each file is then one task.
+    """
+    cells = _history_cells(spark, path, multi_line)
+    good = _history_headers(cells).filter(F.size("missing") == 0).select("source_file", "places")
+    rows = cells.filter("line_no > 1").join(good, "source_file")
+    # Place 0 stands for a header that the file has not.
+    values = [F.coalesce(F.when(F.get("places", F.lit(i)) > 0, F.get("cells", F.get("places", F.lit(i)) - 1)), F.lit("")).alias(h) for i, h in enumerate(HISTORY_HEADERS)]
+    return history_rows(rows.select(*values, "source_file", F.col("line_no").alias("line_key")))
+
+
+def history_files(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(source_file, status, missing, row_count, line_count) per file: 'imported', 'refused' for want of a header, or 'empty' without usable rows."""
+    cells = _history_cells(spark, path, multi_line)
+    rows = cells.groupBy("source_file").agg(F.count_if(F.col("line_no") > 1).alias("row_count"))
+    lines = read_history(spark, path, multi_line).groupBy("source_file").agg(F.count(F.lit(1)).alias("line_count"))
+    counted = _history_headers(cells).join(rows, "source_file").join(lines, "source_file", "left").withColumn("line_count", F.coalesce("line_count", F.lit(0).cast("bigint")))
+    status = F.when(F.size("missing") > 0, "refused").when(F.col("line_count") == 0, "empty").otherwise("imported")
+    return counted.select("source_file", status.alias("status"), F.array_join("missing", "、").alias("missing"), "row_count", "line_count")
 
 
 PROFILE_SCHEMA = St.StructType(
@@ -178,26 +220,47 @@ def read_file_inventory(spark: SparkSession, root: str) -> DataFrame:
     return file_inventory(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root)
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """All old rows of the keys that come again give way to the new rows."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+LEDGER_PARTS = 64
+LEDGER_COLUMNS = (
+    "case_id draft_id line_no saved_at company_name buyer_name buyer_tax_id project_name tax_category tax_code source_item_code specification unit "
+    "quantity unit_price amount_with_tax tax_rate coding_reference coding_state note"
+).split()
+FEEDBACK_COLUMNS = [
+    *("case_id", "draft_id", "line_no", "saved_at", "candidate_status"),
+    *(c for c in LEDGER_COLUMNS[4:] if c != "coding_state"),
+]
 
 
-LEDGER_PARTS = 64
+def ledger_rows(drafts: DataFrame, lines: DataFrame, saved_at: Column) -> DataFrame:
+    """The ledger's row of every draft line: numbered by ``line_no`` from 1 in its draft, with resolved amount, normal rate and coding state."""
+    number = F.row_number().over(W.partitionBy("draft_id").orderBy("line_no"))
+    amount = F.coalesce(T.money_text(T.resolved_amount("amount_with_tax", "quantity", "unit_price")), F.lit(""))
+    made = lines.withColumn("amount_with_tax", amount).withColumn("tax_rate", T.canonical_rate("tax_rate")).withColumn("line_no", number.cast("string"))
+    head = drafts.select("draft_id", *[c for c in ("case_id", "company_name", "buyer_name", "buyer_tax_id", "note")])
+    return coding_states(made.join(head, "draft_id")).withColumn("saved_at", saved_at).select(*LEDGER_COLUMNS, "candidate_status")
+
+
+def write_ledger(spark: SparkSession, path: str, new: DataFrame, parts: int = LEDGER_PARTS, label: str = "") -> None:
+    """Replace the drafts in ``new``; only the ledger's buckets that they fall into are rewritten. Another number of ``parts`` lays the ledger out anew."""
+    KeyedTable(spark, path, ["draft_id"], parts).commit(new, label=label)
 
 
-def write_ledger(spark: SparkSession, path: str, new: DataFrame, parts: int = LEDGER_PARTS) -> None:
-    """Replace the drafts in ``new``; only the ledger partitions they fall into are rewritten."""
-    placed = new.withColumn("part", F.pmod(F.xxhash64("draft_id"), F.lit(parts)).cast("int"))
-    touched = [r[0] for r in placed.select("part").distinct().collect()]  # at most ``parts`` numbers
-    try:
-        old = spark.read.parquet(path).filter(F.col("part").isin(touched))
-        out = replace_by_key(old, placed, ["draft_id"])
-    except Exception as exc:  # first write: there is no ledger yet
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        out = placed
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    return KeyedTable(spark, path, ["draft_id"]).read()
+
+
+def save_drafts(spark: SparkSession, path: str, drafts: DataFrame, lines: DataFrame, saved_at: Column | None = None, parts: int = LEDGER_PARTS, label: str = "") -> None:
+    """Saves drafts in one go: their ledger rows under ``path``/ledger, and their place in the feedback pool under ``path``/feedback.
+
+    Both replace what the drafts had before; a draft none of whose lines waits for feedback any more leaves the pool.
+    """
+    when = saved_at if saved_at is not None else F.lit(spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0])
+    rows = ledger_rows(drafts, lines, when)
+    write_ledger(spark, f"{path}/ledger", rows.select(*LEDGER_COLUMNS), parts, label)
+    saved = drafts.select("draft_id").distinct()
+    merge = lambda old, new: old.join(saved, "draft_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    pool = rows.filter(F.col("candidate_status") != "").select(*FEEDBACK_COLUMNS)
+    KeyedTable(spark, f"{path}/feedback", ["draft_id"], parts).commit(pool, merge, label, saved)
 
 
 EVENT_SCHEMA = St.StructType(
@@ -206,17 +269,40 @@ EVENT_SCHEMA = St.StructType(
 
 
 def event_rows(lines: DataFrame) -> DataFrame:
-    """JSON lines (column ``value``) to events; blank and unreadable lines are dropped."""
+    """JSON lines (column ``value``) to events; blank and unreadable lines are dropped, further columns stay."""
     parsed = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"})
-    rows = lines.filter(~T.is_blank("value")).select(parsed.alias("e")).select("e.*")
+    others = [c for c in lines.columns if c != "value"]
+    rows = lines.filter(~T.is_blank("value")).select(parsed.alias("e"), *others).select("e.*", *others)
     return rows.filter(F.coalesce(*[F.col(c) for c in EVENT_SCHEMA.names]).isNotNull())
 
 
-def read_case_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event logs of a folder, one file per case or many; the payload stays JSON text."""
-    return event_rows(spark.read.option("recursiveFileLookup", True).text(path))
+def read_case_events(spark: SparkSession, path: str, tenant: str = "default") -> DataFrame:
+    """Event logs of a folder, one file per case or many; the payload stays JSON text.
+
+    ``seq`` is the order of arrival: files by the time of their last change and their name, lines as they stand. An event counts as received when
+    its file was last changed, and its file is its request.
+    """
+    lines = with_positions(with_file_columns(spark.read.option("recursiveFileLookup", True).text(path)), seq="seq")
+    received = F.date_format("file_time", "yyyy-MM-dd'T'HH:mm:ss")
+    return event_rows(lines).select(
+        *EVENT_SCHEMA.names, "seq", F.lit(tenant).alias("tenant"), received.alias("received_at"), request_id(F.lit(tenant), F.col("source_file")).alias("request_id"), "source_file", "line_no"
+    )
+
+
+def request_id(*parts: Column) -> Column:
+    """Twelve hexadecimal digits that name a request and stay the same when it is read again."""
+    return F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12)
+
+
+def case_log(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, path, ["case_id"], buckets, form="json")
+
+
+def write_case_events(events: DataFrame, path: str, buckets: int = 64, label: str = "") -> None:
+    """Adds events to a log of JSON lines in hashed buckets of their case. Events whose id the log has are left out, so a repeated write adds nothing."""
+    log = case_log(events.sparkSession, path, buckets)
+    log.commit(events.dropDuplicates(["event_id"]), lambda old, new: old.unionByName(new.join(old.select("event_id"), "event_id", "left_anti"), allowMissingColumns=True), label)
 
 
-def write_case_events(events: DataFrame, path: str) -> None:
-    """Append event rows as JSON lines, one folder per case."""
-    events.write.mode("append").partitionBy("case_id").json(path)
+def read_case_log(spark: SparkSession, path: str) -> DataFrame | None:
+    return case_log(spark, path).read()

@@ -14,6 +14,8 @@ from ..functions import skew
 from ..functions import text as T
 from ..operators import events as ev
 from ..sources import tables as src
+from ..sources.keyed import KeyedTable
+from ..sources.positions import SPLIT, number_kept, with_file_columns, with_positions
 
 SELLER_KEY = ["tenant", "seller_tax_id"]
 BUYER_KEY = ["tenant", "seller_tax_id", "buyer_tax_id", "buyer_name"]
@@ -37,6 +39,10 @@ def _put(df: DataFrame, path: str, batch: int) -> None:
 
 # --- events ---------------------------------------------------------------------------------
 
+#: Hash buckets of the event table (by case), of the index of seen ids, and of the case states.
+EVENT_BUCKETS, SEEN_BUCKETS, STATE_BUCKETS = 64, 256, 64
+
+
 def accept_events(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Events of a batch whose id was never seen, the first of each id. The id is global over tenants."""
     fresh = skew.first_by(batch, ["event_id"], ["seq"])
@@ -52,30 +58,79 @@ def ingest_report(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, counts.withColumn("duplicates", F.col("event_count") - F.col("accepted"))
 
 
-def ingest_events(stream: DataFrame, table: str, log: str, checkpoint: str, tenant: str = "default") -> StreamingQuery:
-    """Appends new events to ``table`` and one row per batch with accepted and duplicate counts to ``log``."""
+class EventStore:
+    """Accepted events, the index of their ids, the log of requests and the case states, below one folder or where they are told to be."""
+
+    def __init__(self, spark: SparkSession, events: str, log: str, seen: str | None = None, states: str | None = None):
+        self.events = KeyedTable(spark, events, ["case_id"], EVENT_BUCKETS)
+        self.seen = KeyedTable(spark, seen or f"{events}-seen", ["event_id"], SEEN_BUCKETS)
+        self.states = KeyedTable(spark, states or f"{events}-states", ["tenant", "case_id"], STATE_BUCKETS)
+        self.log = KeyedTable(spark, log, ["request_id"], 1)
+
+    def mark(self, but: str | None = None) -> int:
+        """The highest arrival number that a finished request gave out."""
+        log = self.log.read(but)
+        return 0 if log is None else log.agg(F.coalesce(F.max("last_seq"), F.lit(0)).alias("n")).first()["n"]
+
+    def accept(self, batch: DataFrame, tenant: str, source: str, sent_at: str, label: str) -> None:
+        """Takes one request in: a row per event read, in arrival order by its file columns, or by ``seq`` where the sender numbers events itself.
+
+        Events with a new id get the numbers after the highest of all requests before, so a request that is taken in again under its label gives the
+        same rows and the same numbers. Of the index, only the buckets that the request's ids fall into are read.
+        """
+        request = src.request_id(F.lit(tenant), F.lit(label))
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+        rows, place = (batch, ["seq"]) if "seq" in batch.columns else (with_positions(batch), [*SPLIT, "line_no"])
+        first = skew.first_by(rows, ["event_id"], place)
+        known = self.seen.read_for(first.select("event_id"), label)
+        fresh = first if known is None else first.join(known.select("event_id"), "event_id", "left_anti")
+        if "seq" not in batch.columns:
+            fresh = number_kept(fresh, "seq", self.mark(label))
+        stamped = fresh.withColumns({"tenant": F.lit(tenant), "received_at": now, "request_id": request})
+        self.events.add(stamped.select(*src.EVENT_SCHEMA.names, "seq", "tenant", "received_at", "request_id"), label)
+        # What is stored counts: it gives the same rows however often it is read.
+        taken = self.events.read_commit().filter(F.col("request_id") == request)
+        self.seen.add(taken.select("event_id", "seq"), label)
+        merge = lambda old, new: ev.merge_states(old.unionByName(new))
+        self.states.commit(ev.partial_states(taken), merge, label)
+        done = taken.agg(F.count(F.lit(1)).alias("accepted"), F.max("seq").alias("last_seq")).select(F.struct("*").alias("d")).scalar()
+        counts = batch.agg(F.count(F.lit(1)).alias("event_count")).withColumn("d", done)
+        times = [request.alias("request_id"), F.lit(tenant).alias("tenant"), F.lit(source).alias("source"), F.lit(sent_at).alias("sent_at"), now.alias("received_at")]
+        self.log.add(counts.select(*times, "event_count", "d.accepted", (F.col("event_count") - F.col("d.accepted")).alias("duplicates"), "d.last_seq"), label)
+
+    def summary(self) -> DataFrame:
+        """The state of every case; equal to the case summary of all accepted events."""
+        return ev.finish_states(self.states.read())
+
+
+def ingest_events(stream: DataFrame, table: str, log: str, checkpoint: str, tenant: str = "default", source: str = "", sent_at: str = "") -> StreamingQuery:
+    """Takes a stream of events into an :class:`EventStore`, a request per batch; a batch that runs again takes the place of its first run."""
+    store = EventStore(stream.sparkSession, table, log)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch.withColumns({"tenant": F.lit(tenant), "received_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
-        if "seq" not in batch.columns:
-            arrived = arrived.withColumn("seq", F.xxhash64("event_id", "created_at"))
-        _put(accept_events(arrived, _stored(spark, table, number)), table, number)
-        done = spark.read.parquet(f"{table}/batch={number}").agg(F.count(F.lit(1)).alias("accepted"))
-        counts = batch.agg(F.count(F.lit(1)).alias("event_count")).withColumn("accepted", done.scalar())
-        _put(counts.withColumn("duplicates", F.col("event_count") - F.col("accepted")), log, number)
+        store.accept(batch, tenant, source, sent_at, f"{checkpoint}#{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(src.EVENT_SCHEMA).json(path)
+def read_event_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """JSON-line event files as they arrive, each row with its place of arrival."""
+    return with_file_columns(spark.readStream.schema(src.EVENT_SCHEMA).options(**options).json(path))
+
+
+def expiring_events(stream: DataFrame, delay: str = "7 days") -> DataFrame:
+    """A stream without repeats of an event id that come within ``delay`` of each other by creation time.
+
+    The state store forgets an id after the delay: bounded state for feeds that repeat events soon or never. A later repeat passes, and so does one
+    with an unreadable time; :func:`ingest_events` remembers every id.
+    """
+    timed = stream.withColumn("created_time", F.to_timestamp("created_at")).withWatermark("created_time", delay)
+    return timed.dropDuplicatesWithinWatermark(["event_id"])
 
 
 def case_states(stream: DataFrame, keys: tuple[str, ...] = ("tenant", "case_id")) -> DataFrame:
-    """The case summary as a running aggregate; write it in update or complete mode."""
-    out = ev.parse_payload(stream).groupBy(*keys).agg(*ev.summary_columns())
-    return out.select("*", F.col("_status.status").alias("status"), F.col("_status.label").alias("status_label")).drop("_status")
+    """The case summary as a running aggregate over numbered events; write it in update or complete mode."""
+    return ev.case_summary(stream, keys)
 
 
 def pending_events(log: DataFrame, acknowledged: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -102,19 +157,26 @@ def clean_profiles(rows: DataFrame, kind: str) -> DataFrame:
     return named.withColumn("unit", T.first_filled("unit", default="项"))
 
 
+def read_profile_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    return with_file_columns(spark.readStream.schema(src.PROFILE_SCHEMA).options(**options).json(path))
+
+
 def profile_upserts(stream: DataFrame, path: str, checkpoint: str, tenant: str = "default") -> StreamingQuery:
     """Logs each batch of profile documents as seller, buyer and line rows plus a row of counts.
 
-    Writing stays cheap at any table size; :func:`current_profiles` gives the last write per key.
+    Writing stays cheap at any table size; :func:`current_profiles` gives the last write per key: the later batch, in it the later document by its file's
+    time, name and line, in it the later entry. A stream without file columns keeps the order in which its batch is read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        stamped = batch.withColumns({"tenant": F.lit(tenant), "status": F.lit("active")})
-        both = ["tenant", "status", "seller_name", "seller_tax_id"]
+        rows = with_positions(batch, seq="pos") if "source_file" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
+        stamped = rows.withColumns({"tenant": F.lit(tenant), "status": F.lit("active")})
+        both = ["tenant", "status", "seller_name", "seller_tax_id", "pos"]
         good = clean_profiles(stamped, "seller")
-        _put(good.select(*both, "source_confidence", "updated_at"), f"{path}/sellers", number)
-        _put(clean_profiles(good.select(*both, F.explode("buyer_profiles").alias("e")).select(*both, "e.*"), "buyer"), f"{path}/buyers", number)
-        _put(clean_profiles(good.select(*both, F.explode("project_profiles").alias("e")).select(*both, "e.*"), "line"), f"{path}/lines", number)
+        entries = lambda name: good.select(*both, F.posexplode(name).alias("at", "e")).select(*both, "at", "e.*")
+        _put(good.select(*both, F.lit(0).alias("at"), "source_confidence", "updated_at"), f"{path}/sellers", number)
+        _put(clean_profiles(entries("buyer_profiles"), "buyer"), f"{path}/buyers", number)
+        _put(clean_profiles(entries("project_profiles"), "line"), f"{path}/lines", number)
         spark = batch.sparkSession
         count = lambda name: spark.read.parquet(f"{path}/{name}/batch={number}").agg(F.count(F.lit(1)).alias("n")).scalar()
         one = spark.range(1).select(count("sellers").alias("seller_count"), count("buyers").alias("buyer_count"), count("lines").alias("line_profile_count"))
@@ -125,7 +187,7 @@ def profile_upserts(stream: DataFrame, path: str, checkpoint: str, tenant: str =
 
 def current_profiles(spark: SparkSession, path: str, kind: str) -> DataFrame:
     name, key = {"seller": ("sellers", SELLER_KEY), "buyer": ("buyers", BUYER_KEY), "line": ("lines", LINE_KEY)}[kind]
-    return skew.last_by(spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}"), key, ["batch"])
+    return skew.last_by(spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}"), key, ["batch", "pos", "at"]).drop("pos", "at")
 
 
 # --- rules ----------------------------------------------------------------------------------
@@ -145,7 +207,8 @@ def rule_packages(rules: DataFrame, tenant: str, version: str, published_at: str
 
 
 def publish_rules(packages: DataFrame, path: str) -> None:
-    packages.write.mode("append").partitionBy("tenant").parquet(path)
+    """Adds packages; one that is published again, with its id, takes the place of its first form."""
+    packages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "package_id").parquet(path)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
