@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import class_id, components, fits, verified, whole_sets
-from .shared import kept_table, ship_package
+from .ngram_join import class_id, components, fits, verified, wanted_classes, whole_sets
+from .shared import dropped, kept_table, ship_package
 from .words import mix, shingle_sets
 
 SIDE = 18
@@ -88,11 +88,11 @@ def in_tables(shared: DataFrame) -> DataFrame:
 
 
 def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class of a table with the table's most central one."""
+    """(a, b): each class of a table with the table's most central one, ``b``."""
     rank = F.struct((-F.col("reach")).alias("r"), F.col("c").alias("b"), F.col("n").alias("bn"))
     leaders = rows.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead.b", "lead.bn")
     met = rows.join(leaders, "key").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent))
-    return met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    return met.select(F.col("c").alias("a"), "b").distinct()
 
 
 def pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
@@ -108,9 +108,10 @@ def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size
 
     def links_of(found: DataFrame) -> DataFrame:
         pairs = kept_table(found, "pairs")
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-        sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
-        return kept_table(verified(pairs, sets, percent), "links")
+        sets = kept_table(whole_sets(docs, classes, wanted_classes(pairs), id_col, text_col, size), "grams")
+        links = kept_table(verified(pairs, sets, percent), "links")
+        dropped(sets, pairs)
+        return links
 
     joined = components(links_of(central_pairs(tables, percent)))
     apart = kept_table(tables.join(joined, "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")

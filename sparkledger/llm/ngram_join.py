@@ -18,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_table, ship_package
+from .shared import dropped, kept_table, ship_package
 from .words import mix, shingle_sets
 
 BINS = 1 << 20  # of the sketches: counts for the orders, bits for a reader's filter; both 1 to 4 MB at any size
 SLICE = 1 << 14
+MARKS = 1 << 24  # bits of the bitmap of shared tokens; a fuller one only lets more tokens into the exact join
 ORDERS = 3
 
 
@@ -165,10 +167,63 @@ def can_overlap(a: str, apos: str, b: str, bpos: str, percent: int) -> Column:
     return F.least(F.col(a) - F.col(apos), F.col(b) - F.col(bpos)) * (100 + percent) >= percent * (F.col(a) + F.col(b))
 
 
+def packed_marks(values: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, packed, of the top bits of the hashes in a column; the driver gets its 2 MB once."""
+    name, part = values.columns[0], MARKS >> 10
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = np.zeros(MARKS, bool)
+        for batch in batches:
+            taken[mark_of(np.asarray(batch.column(0), np.int64))] = True
+        rows = np.packbits(taken).reshape(1 << 10, part // 8)
+        filled = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([rows[i].tobytes() for i in filled], pa.binary())], names=["at", "data"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.frombuffer(data.as_py(), np.uint8)
+                sums[at] = sums[at] | row if at in sums else row
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([r.tobytes() for r in sums.values()], pa.binary())], names=["at", "data"])
+
+    out = np.zeros((1 << 10, part // 8), np.uint8)
+    for row in values.select(name).mapInArrow(bits, "at int, data binary").repartition("at").mapInArrow(joined, "at int, data binary").collect():
+        out[row["at"]] = np.frombuffer(row["data"], np.uint8)
+    return out.reshape(-1)
+
+
+def mark_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)
+
+
 def in_buckets(made: DataFrame) -> DataFrame:
-    """(pos, token, c, n) of the first order for tokens of two classes or more. Counted with partial sums, so a hot token is no hot task."""
-    rows = made.select(F.posexplode("p1").alias("pos", "token"), "c", "n")
-    shared = rows.groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("token")
+    """(token, pos, c, n) of the first order for tokens of two classes or more.
+
+    Counted with partial sums, so a hot token is no hot task. A bitmap of fixed size keeps the tokens of one class, most of them, in their task; the
+    join that follows is exact.
+    """
+    held = made.select(F.explode("p1").alias("token"), "c").groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_high"))
+    shared = kept_table(held.filter("_low <> _high").select("token"), "tokens")
+    bitmap = packed_marks(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(bitmap).astype(bool)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                lists = part.column(2)
+                tokens = np.asarray(lists.flatten(), np.int64)
+                sizes = np.asarray(pc.list_value_length(lists), np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = marked[mark_of(tokens)]
+                of = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[keep]), pa.array(pos[keep].astype(np.int32)), part.column(0).take(of), part.column(1).take(of)], names=["token", "pos", "c", "n"]
+                )
+
+    rows = made.select("c", "n", "p1").mapInArrow(run, "token bigint, pos int, c bigint, n int")
     return rows.join(shared, "token", "left_semi")
 
 
@@ -203,11 +258,11 @@ def filtered(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class of a bucket with the bucket's leader, the class with the least part of its set before the token."""
+    """(a, b): each class of a bucket with its leader ``b``, the class with the least part of its set before the token."""
     rank = F.struct((F.col("pos") / F.col("n")).alias("r"), F.xxhash64("c").alias("h"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"))
     leaders = rows.groupBy("token").agg(F.min(rank).alias("lead")).select("token", "lead.b", "lead.bn", "lead.bpos")
     met = rows.join(leaders, "token").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent) & can_overlap("n", "pos", "bn", "bpos", percent))
-    return met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    return met.select(F.col("c").alias("a"), "b").distinct()
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -219,11 +274,11 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(c, grams) of the ``wanted`` classes, read from one document each.
+    """(c, grams, as_a, as_b) of the ``wanted`` classes, read from one document each.
 
     A bitmap of fixed size keeps most other documents from being cut into n-grams; the join that follows is exact.
     """
-    ids = classes.join(wanted, "c", "left_semi").select("c", "id")
+    ids = classes.join(wanted, "c").select("c", "id", "as_a", "as_b")
     bitmap = marked_slots(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +292,28 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(id_col, text_col, slot_of(id_col)).mapInArrow(run, f"id {kind}, c bigint, grams array<bigint>")
-    return read.join(ids, ["id", "c"], "left_semi").select("c", "grams")
+    return read.join(ids, ["id", "c"]).select("c", "grams", "as_a", "as_b")
+
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose whole sets reach the threshold, in whole numbers."""
-    a = sets.select(F.col("c").alias("a"), F.col("grams").alias("ag"))
-    b = sets.select(F.col("c").alias("b"), F.col("grams").alias("bg"))
+    """The (a, b) pairs whose whole sets reach the threshold, in whole numbers.
+
+    The sets of ``a`` move to their pairs and with them to ``b``; of the sets only those that some pair names as its ``b``, marked when they were
+    read, wait there.
+    """
+    a = sets.filter("as_a").select(F.col("c").alias("a"), F.col("grams").alias("ag"))
+    b = sets.filter("as_b").select(F.col("c").alias("b"), F.col("grams").alias("bg"))
     common = F.size(F.array_intersect("ag", "bg"))
-    counted = pairs.join(a, "a").join(b.join(pairs.select("b").distinct(), "b", "left_semi"), "b").select("a", "b", common.alias("i"), (F.size("ag") + F.size("bg")).alias("s"))
+    counted = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("i"), (F.size("ag") + F.size("bg")).alias("s"))
     return counted.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def wanted_classes(pairs: DataFrame) -> DataFrame:
+    """(c, as_a, as_b): the classes that pairs name, and on which side."""
+    side = lambda name: pairs.select(F.col(name).alias("c"), F.lit(name == "a").alias("as_a"), F.lit(name == "b").alias("as_b"))
+    return side("a").union(side("b")).groupBy("c").agg(F.bool_or("as_a").alias("as_a"), F.bool_or("as_b").alias("as_b"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -297,11 +363,14 @@ def linked(docs: DataFrame, classes: DataFrame, levels: np.ndarray, id_col: str,
 
     def links_of(found: DataFrame) -> DataFrame:
         pairs = kept_table(filtered(kept_table(found, "met"), made, percent), "pairs")
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-        sets = kept_table(whole_sets(docs, classes, wanted, id_col, text_col, size), "grams")
-        return kept_table(verified(pairs, sets, percent), "links")
+        sets = kept_table(whole_sets(docs, classes, wanted_classes(pairs), id_col, text_col, size), "grams")
+        links = kept_table(verified(pairs, sets, percent), "links")
+        dropped(sets, pairs)
+        return links
 
     joined = components(links_of(star_pairs(buckets, percent)))
     apart = kept_table(buckets.join(joined, "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
+    dropped(buckets)
     further = links_of(all_pairs(apart, percent))
+    dropped(apart, made)
     return components(joined.filter("c <> label").select(F.col("c").alias("a"), F.col("label").alias("b")).union(further))

@@ -40,6 +40,14 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the folders of kept tables that nothing reads any more. What was made of them has to be written before."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame, order: list[Column], out: str, upto: Column | None = None) -> DataFrame:
     """Numbers rows from 1 over the whole table by ``order``, columns given by name; with ``upto``, numbers beyond it are null.
 
