@@ -234,21 +234,38 @@ KNOWN_SQL = """SELECT concat('K-', p_name) AS rule_id, p_name AS raw_alias, CASE
 FROM part WHERE p_name NOT LIKE 'blue%' GROUP BY p_name"""
 
 
-@query("learn_rules", f"""WITH rk AS (SELECT a.draft_id, a.line_no, a.project_name, a.tax_category, a.tax_code, {CANON_A} AS rate, b.draft_id IS NULL AS is_new,
+# The edits also rename the items of one unit, so a rule hears of several spellings.
+RENAMED_SQL = """SELECT a.* EXCLUDE (project_name), CASE WHEN unit = '箱' AND project_name <> '' THEN concat(project_name, ' ', specification) ELSE project_name END AS project_name FROM lines_after a"""
+
+
+@query("learn_rules", f"""WITH ra AS ({RENAMED_SQL}), rk AS (SELECT a.draft_id, a.line_no, a.project_name, a.tax_category, a.tax_code, {CANON_A} AS rate, b.draft_id IS NULL AS is_new,
     coalesce(b.tax_category, '') AS bc, coalesce(b.tax_code, '') AS bk, coalesce({CANON_B}, '3%') AS brate, coalesce(b.project_name, '') AS bn
-  FROM lines_after a LEFT JOIN lines_before b ON {BA}),
-cand AS (SELECT *, concat_ws('|', {K('tax_category')}, {K('tax_code')}, replace(rate, '%', '')) AS target, {K('project_name')} AS ka FROM rk
+  FROM ra a LEFT JOIN lines_before b ON {BA}),
+cand AS (SELECT *, concat_ws('|', {K('tax_category')}, {K('tax_code')}, replace(rate, '%', '')) AS target, CASE WHEN bn <> '' THEN {K('bn')} ELSE {K('project_name')} END AS ka FROM rk
   WHERE project_name <> '' AND tax_category <> '' AND (tax_category <> bc OR tax_code <> bk OR rate <> brate OR project_name <> bn) AND (tax_code <> '' OR tax_category <> bc)),
-grp AS (SELECT ka, target, count(*) AS evidence, min((draft_id, line_no)) AS pos FROM cand GROUP BY ALL),
+spelt AS (SELECT ka, target, (draft_id, line_no, 0) AS spot, bn AS v FROM cand WHERE bn <> '' UNION ALL SELECT ka, target, (draft_id, line_no, 1), project_name FROM cand),
+spelt1 AS (SELECT ka, target, {K('v')} AS k, min(spot) AS spot, arg_min(v, spot) AS v FROM spelt GROUP BY ALL),
+names AS (SELECT ka, target, list(v ORDER BY spot) AS vs FROM spelt1 GROUP BY ALL),
+origin1 AS (SELECT ka, target, {K('bn')} AS k, min((draft_id, line_no)) AS spot, arg_min(bn, (draft_id, line_no)) AS v FROM cand WHERE bn <> '' GROUP BY ALL),
+origins AS (SELECT ka, target, string_agg(v, '、' ORDER BY spot) AS original_project_name FROM origin1 GROUP BY ALL),
+grp AS (SELECT ka, target, count(*) AS evidence, min((draft_id, line_no)) AS pos, arg_max(project_name, (draft_id, line_no)) AS last_name FROM cand GROUP BY ALL),
+srcs AS (SELECT ka, target, string_agg(concat('learned:', draft_id, ':', line_no), ';' ORDER BY draft_id, line_no) AS sources FROM (SELECT DISTINCT ka, target, draft_id, line_no FROM cand) c GROUP BY ALL),
 known AS (SELECT *, {K('raw_alias')} AS ka, concat_ws('|', tax_category, tax_code, replace(tax_treatment_or_rate, '%', '')) AS target FROM ({KNOWN_SQL}) k WHERE status <> 'pending_review'),
-st AS (SELECT grp.*, known.rule_id AS merged FROM grp LEFT JOIN known ON known.ka = grp.ka AND known.target = grp.target),
-cl AS (SELECT ka, arg_min(target, pos) AS first_target FROM st WHERE merged IS NULL GROUP BY ka)
-SELECT CASE WHEN merged IS NOT NULL THEN merged WHEN o.rule_id IS NOT NULL OR first_target <> st.target THEN concat('conflict-', substr(sha1(concat(st.ka, '|', st.target)), 1, 12))
+st AS (SELECT grp.*, known.rule_id AS merged, known.raw_alias AS known_alias FROM grp LEFT JOIN known ON known.ka = grp.ka AND known.target = grp.target),
+claims AS (SELECT {K('v')} AS a, st.target, pos, ka FROM st JOIN (SELECT n.ka AS nka, n.target AS nt, unnest(first_aliases) AS v FROM (SELECT cand.ka, cand.target,
+  arg_min(CASE WHEN bn = '' OR {K('bn')} = {K('project_name')} THEN [CASE WHEN bn <> '' THEN bn ELSE project_name END] ELSE [bn, project_name] END, (draft_id, line_no)) AS first_aliases FROM cand GROUP BY ALL) n) f
+  ON nka = st.ka AND nt = st.target WHERE merged IS NULL),
+cl AS (SELECT a, arg_min(target, (pos, target)) AS first_target, arg_min(ka, (pos, target)) AS first_ka FROM claims GROUP BY a),
+judged AS (SELECT claims.ka, claims.target, min(o.rule_id) AS known_id, min(CASE WHEN first_target <> claims.target THEN concat('learned-', substr(sha1(concat(first_ka, '|', first_target)), 1, 12)) END) AS batch_id
+  FROM claims LEFT JOIN cl ON cl.a = claims.a LEFT JOIN known o ON o.ka = claims.a AND o.target <> claims.target GROUP BY ALL)
+SELECT CASE WHEN merged IS NOT NULL THEN merged WHEN coalesce(known_id, batch_id) IS NOT NULL THEN concat('conflict-', substr(sha1(concat(st.ka, '|', st.target)), 1, 12))
     ELSE concat('learned-', substr(sha1(concat(st.ka, '|', st.target)), 1, 12)) END AS rule_id, evidence,
-  CASE WHEN merged IS NOT NULL THEN 'merged' WHEN o.rule_id IS NOT NULL OR first_target <> st.target THEN 'pending_review' ELSE 'ready' END AS status,
-  CASE WHEN merged IS NOT NULL THEN '' ELSE coalesce(o.rule_id, CASE WHEN first_target <> st.target THEN concat('learned-', substr(sha1(concat(st.ka, '|', first_target)), 1, 12)) END, '') END AS conflict_with_rule_id
-FROM st LEFT JOIN cl ON cl.ka = st.ka LEFT JOIN known o ON o.ka = st.ka AND o.target <> st.target""")
+  CASE WHEN merged IS NOT NULL THEN 'merged' WHEN coalesce(known_id, batch_id) IS NOT NULL THEN 'pending_review' ELSE 'ready' END AS status,
+  coalesce(known_id, batch_id, '') AS conflict_with_rule_id, last_name AS final_project_name, sources AS source_case_ids, coalesce(original_project_name, '') AS original_project_name,
+  CASE WHEN merged IS NULL THEN array_to_string(vs, '、') ELSE concat_ws('、', known_alias, nullif(array_to_string(list_filter(vs, lambda v: {K('v')} <> {K('known_alias')}), '、'), '')) END AS raw_alias
+FROM st JOIN names ON names.ka = st.ka AND names.target = st.target JOIN srcs ON srcs.ka = st.ka AND srcs.target = st.target LEFT JOIN origins ON origins.ka = st.ka AND origins.target = st.target LEFT JOIN judged ON judged.ka = st.ka AND judged.target = st.target""")
 def _(spark, sf):
     table(spark, sf, "part").createOrReplaceTempView("part")
-    learned = coding.learn_rules(view(spark, sf, "lines_before"), view(spark, sf, "lines_after"), spark.sql(KNOWN_SQL))
-    return learned.select("rule_id", "evidence", "status", "conflict_with_rule_id")
+    view(spark, sf, "lines_after").createOrReplaceTempView("lines_after")
+    learned = coding.learn_rules(view(spark, sf, "lines_before"), spark.sql(RENAMED_SQL.replace("EXCLUDE", "EXCEPT")), spark.sql(KNOWN_SQL))
+    return learned.select("rule_id", "evidence", "status", "conflict_with_rule_id", "final_project_name", "source_case_ids", "original_project_name", "raw_alias")

@@ -219,6 +219,19 @@ def test_learning_conflict(spark):
     assert got["金属"] == ("pending_review", "r1") and got["纸"][0] == "ready" and got["木"][0] == "pending_review"
 
 
+def test_learning_folds_edits_onto_the_known_rule(spark):
+    line = lambda i, name, **kw: {"draft_id": "d", "line_no": i, "project_name": name, **kw}
+    before = lines_df(spark, [line(1, "foo"), line(2, "foo"), line(3, "new"), line(4, "New")])
+    coded = {"tax_category": "cat", "tax_code": "1"}
+    after = lines_df(spark, [line(1, "foo one", **coded), line(2, "foo two", **coded), line(3, "new a", **coded), line(4, "new b", **coded)])
+    rules = spark.createDataFrame([("r1", "foo、bar", "cat", "1", "3%", "ready", "old:1", "FOO")], "rule_id string, raw_alias string, tax_category string, tax_code string, tax_treatment_or_rate string, status string, source_case_ids string, original_project_name string")
+    got = {r.status: r for r in coding.learn_rules(before, after, rules).collect()}
+    merged, ready = got["merged"], got["ready"]
+    assert (merged.rule_id, merged.raw_alias, merged.normalized_invoice_name, merged.evidence) == ("r1", "foo、bar、foo one、foo two", "foo two", 2)
+    assert (merged.source_case_ids, merged.original_project_name, merged.final_project_name) == ("old:1;learned:d:1;learned:d:2", "FOO", "foo two")
+    assert (ready.raw_alias, ready.normalized_invoice_name, ready.source_case_ids, ready.original_project_name) == ("new、new a、new b", "new b", "learned:d:3;learned:d:4", "new")
+
+
 def test_skewed_windows_equal_plain_ones(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", n, rng.randrange(9), rng.choice(["a", "b", None, None])) for n in range(400)]
