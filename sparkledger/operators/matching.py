@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions import text as T
+from ..functions.kept import kept_table
 from . import history
 from .coding import LINE
 from .quality import sheet_money  # noqa: F401  (re-exported for sheet writers)
@@ -175,44 +176,89 @@ def match_reissues(requests: DataFrame, invoices: DataFrame) -> DataFrame:
     return out.join(full, "request_id").select("request_id", "original_no", "pos", "amount", "invoice_no", "matched_all")
 
 
+def cut_pointers(sums: DataFrame, targets: DataFrame) -> DataFrame:
+    """(invoice_no, k, start, stop): where a run that begins behind line ``start`` first meets target ``k``. Starts that never meet it have no row.
+
+    ``sums``: invoice_no, line_no and the running sum ``run`` in cents; a start is a line's running sum, or 0 before the first one. An equi join
+    finds the sums that lie a target apart, one cent to either side.
+    """
+    asked = sums.join(targets, "invoice_no").select("invoice_no", "k", F.col("line_no").alias("stop"), F.explode(F.array(*[(F.col("run") - F.col("cents") + d).cast("decimal(38,0)") for d in (-1, 0, 1)])).alias("run"))
+    firsts = targets.select("invoice_no", F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("decimal(38,0)").alias("run")).distinct()
+    starts = sums.select("invoice_no", F.col("line_no").alias("start"), "run").unionByName(firsts)
+    met = starts.join(asked, ["invoice_no", "run"]).filter(F.col("start").isNull() | (F.col("stop") > F.col("start")))
+    return met.groupBy("invoice_no", "k", "start").agg(F.min("stop").alias("stop"))
+
+
+def cut_chain(pointers: DataFrame, most: int) -> DataFrame:
+    """(invoice_no, k, stop): the cuts that the pointers lead to from the start of each invoice, as far as they go.
+
+    Pointers are doubled round by round: after j rounds one jumps over 2^j targets, and the places reached so far jump along with it. A job of as
+    many rounds as ``most`` has binary digits, each over the pointers alone.
+    """
+    places = pointers.filter("k = 0 and start is null").select("invoice_no", F.lit(0).alias("k"), "stop")
+    jumps, step = pointers, 1
+    while step < most:
+        hop = jumps.select("invoice_no", (F.col("k") - 1).alias("k"), F.col("start").alias("stop"), F.col("stop").alias("next"))
+        further = places.join(hop, ["invoice_no", "k", "stop"]).select("invoice_no", (F.col("k") + step).alias("k"), F.col("next").alias("stop"))
+        places = kept_table(places.unionByName(further), "cuts")
+        follow = jumps.select("invoice_no", (F.col("k") - step).alias("k"), F.col("start").alias("stop"), F.col("stop").alias("next"))
+        jumps = kept_table(jumps.join(follow, ["invoice_no", "k", "stop"]).select("invoice_no", "k", "start", F.col("next").alias("stop")), "jumps")
+        step *= 2
+    return places
+
+
 def split_by_targets(lines: DataFrame, targets: DataFrame, size: int = skew.CHUNK) -> DataFrame:
     """Cuts the ordered lines of an invoice into runs, each ending where its sum meets the next target.
 
     ``lines``: invoice_no, line_no, amount; ``targets``: invoice_no, target_pos (0-based), target. One
     target takes all lines. Otherwise every target needs a run, or the invoice gives no rows; a target
-    never met takes what is left. Where one target meets one line, the line gets the target as its amount.
-    Works on running sums, one join for each target of the invoice that has the most, never on whole invoices.
+    never met takes what is left, so it has to be the last. Where one target meets one line, the line gets the target as its amount.
+    Works on running sums and pointers between them, never on whole invoices.
     """
-    most = targets.groupBy("invoice_no").count().agg(F.max("count")).first()[0] or 0
-    wanted = targets.groupBy("invoice_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("target_pos", "target"))), lambda t: t["target"]).alias("targets"))
-    work = lines.join(wanted, "invoice_no", "left_semi").select("invoice_no", "line_no", F.coalesce(F.abs("amount"), F.lit(0)).cast("decimal(28,2)").alias("a"))
-    run = skew.chunked_running_sum(work, ["invoice_no"], "line_no", F.col("a"), "run", size).select("invoice_no", "line_no", F.col("run").cast("decimal(38,2)").alias("run"))
-    ends = F.array().cast("array<bigint>")
-    state = wanted.select("invoice_no", F.struct("targets", F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("decimal(38,2)").alias("base"), ends.alias("ends"), F.lit(None).cast("bigint").alias("last_no")).alias("s"))
-    for k in range(most):
-        target = F.try_element_at(F.col("s.targets"), F.lit(k + 1))
-        meets = (F.col("line_no") > F.col("s.at")) & (F.abs(F.col("run") - F.col("s.base") - target) <= 0.01)
-        step = run.join(state, "invoice_no").groupBy("invoice_no").agg(
-            F.first("s").alias("s"), F.min(F.when(meets, F.struct("line_no", "run"))).alias("e"), F.max("line_no").alias("last_no")
-        )
-        open_run = (F.size("s.targets") > k) & (F.col("s.at") < F.col("last_no"))
-        at = F.when(open_run, F.coalesce("e.line_no", "last_no")).otherwise(F.col("s.at"))
-        state = step.select(
-            "invoice_no",
-            F.struct(
-                F.col("s.targets").alias("targets"), at.alias("at"), F.when(open_run, F.coalesce("e.run", "s.base")).otherwise(F.col("s.base")).cast("decimal(38,2)").alias("base"),
-                F.when(open_run, F.array_append("s.ends", at)).otherwise(F.col("s.ends")).alias("ends"), F.col("last_no").cast("bigint").alias("last_no"),
-            ).alias("s"),
-        )
-    n_targets = F.size("s.targets")
-    cut = state.filter((n_targets == 1) | (F.size("s.ends") == n_targets)).select("invoice_no", n_targets.alias("n_targets"), F.col("s.ends").alias("ends"))
-    single = lines.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("_lines"))
-    only = targets.groupBy("invoice_no").agg(F.first("target").alias("_target"))
+    wanted = targets.select("invoice_no", F.col("target_pos").cast("int").alias("k"), F.round(F.col("target").cast("decimal(28,2)") * 100).cast("decimal(38,0)").alias("cents"))
+    counts = wanted.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("n_targets"))
+    ends = lines.groupBy("invoice_no").agg(F.max("line_no").alias("last_no"), F.count(F.lit(1)).alias("_lines"))
+    several = counts.filter("n_targets > 1").select("invoice_no")
+    work = lines.join(several, "invoice_no", "left_semi").select("invoice_no", "line_no", F.coalesce(F.abs("amount"), F.lit(0)).cast("decimal(28,2)").alias("a"))
+    sums = skew.chunked_running_sum(work, ["invoice_no"], "line_no", F.col("a"), "run", size).select("invoice_no", "line_no", (F.col("run") * 100).cast("decimal(38,0)").alias("run"))
+    pointers = kept_table(cut_pointers(sums, wanted.join(several, "invoice_no", "left_semi")), "pointers")
+    most = counts.agg(F.max("n_targets")).first()[0] or 0
+    chain = cut_chain(pointers, most)
+    # The pointers end at the first target that is not met; it takes the rest, and all before it have their runs.
+    cuts = chain.groupBy("invoice_no").agg(F.max("k").alias("met"), F.array_sort(F.collect_list("stop")).alias("ends"), F.max("stop").alias("stop"))
+    whole = counts.join(ends, "invoice_no").join(cuts, "invoice_no", "left").withColumn("met", F.coalesce("met", F.lit(-1)) + 1)
+    rest = (F.col("met") == F.col("n_targets") - 1) & (F.coalesce("stop", F.lit(-(2**63)).cast("bigint")) < F.col("last_no"))
+    usable = whole.filter((F.col("n_targets") == 1) | (F.col("met") == F.col("n_targets")) | rest)
+    until = F.when((F.col("n_targets") > 1) & (F.col("met") == F.col("n_targets")), F.col("stop")).otherwise(F.col("last_no"))
+    only = wanted.filter("k = 0").join(counts.filter("n_targets = 1"), "invoice_no").select("invoice_no", (F.col("cents") / 100).alias("_target"))
+    placed = lines.join(usable.select("invoice_no", "n_targets", "_lines", F.coalesce("ends", F.array().cast("array<bigint>")).alias("ends"), until.alias("_until")), "invoice_no").join(only, "invoice_no", "left")
     alone = (F.col("_lines") == 1) & (F.col("n_targets") == 1)
-    placed = lines.join(cut, "invoice_no").join(single, "invoice_no").join(only, "invoice_no")
     placed = placed.withColumn("amount", F.when(alone, F.col("_target").cast(lines.schema["amount"].dataType)).otherwise(F.col("amount")))
+    # Such a line counts as one piece; its price would no longer fit.
+    for name, value in (("quantity", T.first_filled("quantity", default="1") if "quantity" in lines.columns else None), ("unit_price", F.lit(""))):
+        if name in lines.columns:
+            placed = placed.withColumn(name, F.when(alone, value).otherwise(F.col(name)))
     group = F.when(F.col("n_targets") == 1, 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("line_no"))))
-    return placed.withColumn("group_no", group).filter(F.col("group_no") < F.col("n_targets")).select(*lines.columns, "group_no")
+    return placed.filter(F.col("line_no") <= F.col("_until")).select(*lines.columns, group.alias("group_no"))
+
+
+def reissue_lines(requests: DataFrame, invoices: DataFrame, lines: DataFrame, size: int = skew.CHUNK) -> DataFrame:
+    """The lines of every draft that reissue requests ask for: (request_id, group_no, source_no, the columns of ``lines``).
+
+    A request all of whose amounts have an invoice takes those invoices' lines, one draft each. Otherwise the original invoice is cut up at the
+    amounts; a request whose amounts do not cut it gives no rows. ``requests`` and ``invoices`` as for :func:`match_reissues`; ``lines``: invoice_no,
+    line_no, amount and what else a line has.
+    """
+    found = match_reissues(requests, invoices)
+    taken = found.filter("matched_all").select("request_id", F.col("pos").alias("group_no"), "invoice_no")
+    whole = taken.join(lines, "invoice_no").select("request_id", "group_no", F.col("invoice_no").alias("source_no"), *[c for c in lines.columns if c != "invoice_no"])
+    open_ = found.filter(~F.col("matched_all"))
+    # A request cuts its own copy of the original, so the copy goes by the request's id.
+    own = open_.select("request_id", "original_no").distinct().join(lines.withColumnRenamed("invoice_no", "original_no"), "original_no")
+    copies = own.withColumnRenamed("request_id", "invoice_no").withColumnRenamed("original_no", "source_no")
+    targets = open_.select(F.col("request_id").alias("invoice_no"), F.col("pos").alias("target_pos"), F.col("amount").alias("target"))
+    cut = split_by_targets(copies, targets, size).withColumnRenamed("invoice_no", "request_id")
+    return whole.unionByName(cut.select(*whole.columns))
 
 
 def fill_vehicle_rows(rows: DataFrame, size: int = skew.CHUNK) -> DataFrame:

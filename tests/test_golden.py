@@ -94,6 +94,54 @@ def test_reissue(spark):
     assert matching.split_by_targets(lines, bad).count() == 0
 
 
+def plain_cuts(amounts, targets):
+    """Group of each line, None for the lines that no run takes; None where the targets don't cut the invoice."""
+    if len(targets) == 1:
+        return [0] * len(amounts)
+    groups, at = [None] * len(amounts), 0
+    for k, target in enumerate(targets):
+        run, first = 0, at
+        while at < len(amounts):
+            run += abs(round(amounts[at] * 100))
+            groups[at] = k
+            at += 1
+            if abs(run - round(target * 100)) <= 1:
+                break
+        if at == first:
+            return None
+    return groups
+
+
+def test_cuts_against_brute_force(spark):
+    rng = random.Random(8)
+    lines, targets, want = [], [], {}
+    for i in range(80):
+        no, amounts = f"i{i}", [rng.choice([1.0, 2.0, -1.5, 0.01, 3.25, 0.0]) for _ in range(rng.randrange(1, 25))]
+        places = sorted(rng.sample(range(1, len(amounts) + 1), rng.randrange(0, min(6, len(amounts))))) + [len(amounts)]
+        cuts = [sum(abs(a) for a in amounts[lo:hi]) + rng.choice([0, 0, 0.01, -0.01]) for lo, hi in zip([0, *places], places, strict=False)]
+        if rng.random() < 0.3:
+            cuts[rng.randrange(len(cuts))] += 50
+        lines += [(no, 10 * n, a) for n, a in enumerate(amounts)]
+        targets += [(no, k, round(float(t), 2)) for k, t in enumerate(cuts)]
+        for n, group in enumerate(plain_cuts(amounts, [round(t, 2) for t in cuts]) or []):
+            if group is not None:
+                want[no, 10 * n] = group
+    long = [(("long", n, 1.0)) for n in range(1500)]
+    got = matching.split_by_targets(spark.createDataFrame(lines + long, "invoice_no string, line_no bigint, amount double"),
+                                    spark.createDataFrame(targets + [("long", k, 3.0) for k in range(500)], "invoice_no string, target_pos int, target double"))
+    assert {(r.invoice_no, r.line_no): r.group_no for r in got.collect()} == {**want, **{("long", n): n // 3 for n in range(1500)}}
+
+
+def test_reissues_fall_back_to_the_original(spark):
+    a, b = "1" * 20, "2" * 20
+    texts = spark.createDataFrame([("r1", "co", f"{a} 重开 金额分别为 47060 9750 16160"), ("r2", "co", f"{b} 开这个数 70.5 重开"), ("r3", "co", f"{b} 重开 金额分别为 3 4")], "request_id string, company_name string, text string")
+    invoices = spark.createDataFrame([(a, "co", "x", 72970.0, False, "2024-01-01"), (b, "co", "x", 50.0, True, "2024-01-01"), ("3" * 20, "co", "x", 70.5, True, "2024-01-02")],
+                                     "invoice_no string, seller_name string, buyer_name string, total_amount double, is_positive boolean, issued_at string")
+    lines = spark.createDataFrame([(a, 1, 40000.0, "p"), (a, 2, 7060.0, "q"), (a, 3, 9750.0, "r"), (a, 4, 16160.0, "s"), (b, 1, 50.0, "t"), ("3" * 20, 1, 70.5, "u")], "invoice_no string, line_no bigint, amount double, name string")
+    got = matching.reissue_lines(matching.reissue_requests(texts), invoices, lines).collect()
+    assert sorted((r.request_id, r.group_no, r.source_no[0], r.name) for r in got) == [("r1", 0, "1", "p"), ("r1", 0, "1", "q"), ("r1", 1, "1", "r"), ("r1", 2, "1", "s"), ("r2", 0, "3", "u")]
+
+
 def test_exclusive_requests_against_brute_force(spark):
     rng = random.Random(7)
     invoices = [(f"i{n:03d}", f"seller{rng.randrange(2)}", f"buyer{rng.randrange(3)}", f"id{rng.randrange(3)}", float(rng.randrange(3)), rng.random() < 0.9, f"2026-01-{rng.randrange(1, 28):02d}") for n in range(60)]
