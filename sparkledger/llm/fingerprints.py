@@ -81,39 +81,50 @@ def as_text(sketch_: Column) -> Column:
     return F.array_join(F.transform(sketch_, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """(id, own, text, next) in descending id; the next of the smallest id is the largest.
+#: Bytes of text that a range of ids holds, about.
+RANGE_BYTES = 64 << 20
 
-    Ids are cut at their quantiles into ``parts`` ranges, each a window of its own. The first document of a range
-    is also sent to the end of the range before it, so texts move once and no window spans the table.
-    Equal ids follow the hash of their text; null ids come last.
+
+def cuts_of(docs: DataFrame, id_col: str, parts: int) -> list:
+    """At most ``parts`` - 1 ids that cut the table into ranges of about as many rows, for ids of any type that can be ordered."""
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
+    least = ids.repartitionByRange(parts, "id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("cut"))
+    return sorted({row["cut"] for row in least.collect()})[1:]  # an id for each range
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int):
+    """(id, own, text, next) in descending id; the next of the smallest id is the largest. With it the order that ``next`` follows.
+
+    Ids are cut into ``parts`` ranges, each a window of its own. The first document of a range is also sent to the end of the range before
+    it, so texts move once and no window spans the table. Equal ids follow the hash of their text; null ids come last.
     """
-    least = F.lit(-(2**63)).cast("bigint")
-    rows = docs.select(F.coalesce(F.col(id_col), least).alias("key"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    cuts = sorted(set(docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []))
-    # A small two-level search: the block of cuts first, then the cut.
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    cuts = cuts_of(docs, id_col, parts)
+    kind = docs.schema[id_col].dataType
+    lits = lambda values: [F.lit(v).cast(kind) for v in values]
+    # A small two-level search: the block of cuts first, then the cut. A null id is in the lowest range.
     step = max(1, int(len(cuts) ** 0.5))
-    heads, blocks = [c[0] for c in (cuts[i : i + step] for i in range(0, len(cuts), step))], [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     if cuts:
-        block = F.size(F.filter(F.array(*map(F.lit, heads)), lambda c: c <= F.col("key")))
-        inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block - 1)
-        part = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + F.size(F.filter(inside, lambda c: c <= F.col("key"))))
+        block = F.size(F.filter(F.array(*lits(b[0] for b in blocks)), lambda c: c <= F.col("id")))
+        inside = F.get(F.array(*[F.array(*lits(b)) for b in blocks]), block - 1)
+        part = F.when(F.col("id").isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * step + F.size(F.filter(inside, lambda c: c <= F.col("id"))))
     else:
         part = F.lit(0)
     ranged = rows.withColumn("part", part)
-    first = ranged.groupBy("part").agg(F.max("key").alias("first"))
+    first = ranged.groupBy("part").agg(F.max("id").alias("first"))
     # What stands before a range in descending order is the next higher range that has rows; the highest follows the lowest.
     up = F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     ahead = first.select(F.col("part").alias("of"), up.alias("to"), "first")
     # At most one row for each of the ``parts`` ranges, so this side is small whatever the table holds.
     heads_only = (
-        ranged.join(F.broadcast(ahead), (F.col("part") == F.col("of")) & (F.col("key") == F.col("first")))
+        ranged.join(F.broadcast(ahead), (F.col("part") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")))
         .groupBy(F.col("to").alias("part"))
-        .agg(F.max_by(F.struct("key", "id", "text"), F.xxhash64("text")).alias("head"))
-        .select("head.key", "head.id", "head.text", "part", F.lit(False).alias("own"))
+        .agg(F.max_by(F.struct("id", "text"), F.xxhash64("text")).alias("head"))
+        .select("head.id", "head.text", "part", F.lit(False).alias("own"))
     )
-    both = ranged.select("key", "id", "text", "part", F.lit(True).alias("own")).unionByName(heads_only).withColumn("tie", F.xxhash64("text"))
-    order = W.partitionBy("part").orderBy(F.desc("own"), F.desc("key"), F.desc("tie"))
+    both = ranged.select("id", "text", "part", F.lit(True).alias("own")).unionByName(heads_only).withColumn("tie", F.xxhash64("text"))
+    order = W.partitionBy("part").orderBy(F.desc("own"), F.desc_nulls_last("id"), F.desc("tie"))
     return both.withColumn("next", F.lead("text").over(order)), order
 
 
@@ -122,18 +133,21 @@ def fingerprint_documents(
 ) -> DataFrame:
     """Per document: n_chars, edited text, both sketches, and their likeness to each other and to the next document.
 
+    Ranges of ids are windows: as many as a shuffle has partitions, more where a range would hold over ``RANGE_BYTES`` of text, or ``parts``.
     The edited text ends in the next document's first floor(n_chars / 3) code points in place of its own last. A null text is
     empty; an empty text has an empty sketch, alike only to empty ones; equal texts have equal sketches. Rows that
-    repeat an id give a row each, null ids come last in the order; a single document is its own next. An empty table gives an
+    repeat an id give a row each, null ids come last in the order; ids may be of any type that can be ordered; a single document is its own next. An empty table gives an
     empty one. Other columns of ``docs`` are not read.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     paired, order = with_next(docs, id_col, text_col, parts)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
     made = paired.select(
-        "id", "own", "key", "tie", "part", n.cast("bigint").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k, words).alias("sketch")
+        "id", "own", "tie", "part", n.cast("bigint").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k, words).alias("sketch")
     )
     follow = made.withColumn("next_sketch", F.lead("sketch").over(order)).filter("own").withColumn("edited_sketch", sketch(F.col("edited"), k, words))
     return follow.select(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ship_package
+from .shared import kept_table, ship_package
 
 SAMPLE = 150
 LANDMARKS = 160
@@ -92,12 +92,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), id_col).alias("key")
     )
-    # Spark keeps the first of each language in every task before it shuffles.
+    # Spark keeps the first keys of each language in every task before it shuffles; texts stay where they are.
     first = W.partitionBy("lang").orderBy("key", "text")
     keys = rows.select("lang", "key").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= sample)
-    last = keys.groupBy("lang").agg(F.max("key").alias("upto")).withColumnRenamed("lang", "_lang")
-    # A row for each language: as small as the list of languages.
-    near = rows.join(last, (F.col("lang") == F.col("_lang")) & (F.col("key") <= F.col("upto"))).withColumn("n", F.row_number().over(first))
+    # ``sample`` keys a language, written, so that Spark knows their size: it sends them to the texts while they are small, and joins by key beyond.
+    chosen = kept_table(keys.select("lang", "key").distinct(), "sample")
+    near = rows.join(chosen, ["lang", "key"], "left_semi").withColumn("n", F.row_number().over(first))
     found = near.filter(F.col("n") <= sample).orderBy("key", "lang", "text").select("lang", "text").collect()
     return fit([(r.lang, r.text) for r in found])
 
