@@ -53,6 +53,13 @@ def _(spark, sf):
                     "llm_provider", F.array_join("llm_tasks", ",").alias("llm_tasks"), "file_count")
 
 
+@query("last_observations", f"""WITH {PARSED}, {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant, case_id ORDER BY seq DESC) AS back, count(*) OVER (PARTITION BY tenant, case_id) AS many FROM o)
+SELECT tenant, case_id, least(many, 16) - back + 1 AS position, event_id, phase, action, state AS status, array_to_string(caps, ',') AS capabilities, llm_attempted FROM r WHERE back <= 16""")
+def _(spark, sf):
+    o = ev.last_observations(view(spark, sf, "cev"))
+    return o.select("tenant", "case_id", "position", "event_id", "phase", "action", "status", F.array_join("capabilities", ",").alias("capabilities"), "llm_attempted")
+
+
 STATUS_SQL = """CASE WHEN event_type IN ('draft_created', 'split_child_draft_created', 'draft_batch_created') THEN 'draft_generated'
   WHEN event_type IN ('template_exported', 'batch_template_exported') THEN CASE WHEN p_errors = 0 THEN 'template_ready' ELSE 'needs_review' END
   WHEN event_type = 'batch_run_queued' THEN 'tax_run_queued' WHEN event_type = 'tax_subject_mismatch_blocked' THEN 'subject_mismatch_blocked'
@@ -182,13 +189,13 @@ def _(spark, sf):
 
 @query("rule_candidates", """WITH r AS (SELECT seq, received_at, case_id, draft_id, ord, rule ->> '$.raw_alias' AS raw_alias, rule ->> '$.tax_category' AS tax_category, rule ->> '$.tax_code' AS tax_code,
     rule ->> '$.tax_treatment_or_rate' AS rate, rule ->> '$.company_name' AS company FROM (SELECT *, unnest(rs) AS rule, generate_subscripts(rs, 1) AS ord FROM (
-    SELECT seq, received_at, case_id, draft_id, from_json(json_extract(payload, '$.rules'), '["JSON"]') AS rs FROM cev WHERE tenant = 'T0' AND event_type = 'local_learned_rules_saved' ORDER BY seq LIMIT 5000) q) x),
+    SELECT seq, received_at, case_id, draft_id, from_json(json_extract(payload, '$.rules'), '["JSON"]') AS rs FROM cev WHERE tenant = 'T0' AND event_type = 'local_learned_rules_saved') q) x),
 k AS (SELECT *, regexp_replace(upper(raw_alias), '[^\\p{L}\\p{N}]', '', 'g') AS ak FROM r WHERE raw_alias <> '' AND tax_category <> ''),
-g AS (SELECT ak, tax_category, tax_code, rate, min((seq, ord)) AS pos, count(*) AS evidence_count, arg_min(received_at, (seq, ord)) AS first_seen_at, arg_max(received_at, (seq, ord)) AS last_seen_at FROM k GROUP BY ALL),
+g AS (SELECT *, cast(row_number() OVER (ORDER BY pos) AS varchar) AS no FROM (SELECT ak, tax_category, tax_code, rate, min((seq, ord)) AS pos, count(*) AS evidence_count, arg_min(received_at, (seq, ord)) AS first_seen_at, arg_max(received_at, (seq, ord)) AS last_seen_at FROM k GROUP BY ALL) h),
 c AS (SELECT ak, tax_category, tax_code, rate, string_agg(v, '、' ORDER BY o) AS company_names FROM (SELECT ak, tax_category, tax_code, rate, company AS v, min((seq, ord)) AS o FROM k WHERE company <> '' GROUP BY ALL) y GROUP BY ALL),
 s AS (SELECT ak, tax_category, tax_code, rate, string_agg(v, '、' ORDER BY o) AS case_ids FROM (SELECT ak, tax_category, tax_code, rate, case_id AS v, min((seq, ord)) AS o FROM k GROUP BY ALL) y GROUP BY ALL),
 n AS (SELECT ak, tax_category, tax_code, rate, string_agg(v, '、' ORDER BY o) AS raw_alias FROM (SELECT ak, tax_category, tax_code, rate, raw_alias AS v, min((seq, ord)) AS o FROM k GROUP BY ALL) y GROUP BY ALL)
-SELECT concat('cand-', lpad(cast(row_number() OVER (ORDER BY pos) AS varchar), 4, '0')) AS candidate_id, n.raw_alias, g.tax_category, g.tax_code, g.rate AS tax_treatment_or_rate, evidence_count, first_seen_at, last_seen_at,
+SELECT concat('cand-', lpad(no, greatest(4, length(no))::int, '0')) AS candidate_id, n.raw_alias, g.tax_category, g.tax_code, g.rate AS tax_treatment_or_rate, evidence_count, first_seen_at, last_seen_at,
   coalesce(company_names, '') AS company_names, case_ids FROM g JOIN n ON n.ak = g.ak AND n.tax_category = g.tax_category AND n.tax_code = g.tax_code AND n.rate = g.rate
   JOIN s ON s.ak = g.ak AND s.tax_category = g.tax_category AND s.tax_code = g.tax_code AND s.rate = g.rate
   LEFT JOIN c ON c.ak = g.ak AND c.tax_category = g.tax_category AND c.tax_code = g.tax_code AND c.rate = g.rate""")
@@ -214,20 +221,20 @@ FILES_SQL = """SELECT concat('S', cast(l_suppkey AS string)) AS draft_id, cast(l
 
 @query("attachment_summary", f"""WITH f AS ({FILES_SQL}), n AS (SELECT draft_id, string_agg(original_name, ',' ORDER BY pos, original_name) AS file_names FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY pos, original_name) AS rn FROM f) r
   WHERE rn <= 12 GROUP BY draft_id) SELECT f.draft_id, count(*) AS file_count, sum(size_bytes) AS total_size_bytes, count(CASE WHEN original_name LIKE '%.PNG' THEN 1 END) AS png,
-  count(CASE WHEN original_name LIKE '%.xlsx' THEN 1 END) AS xlsx, count(CASE WHEN original_name NOT LIKE '%.%' THEN 1 END) AS unknown FROM f JOIN n ON n.draft_id = f.draft_id GROUP BY f.draft_id""")
+  count(CASE WHEN original_name LIKE '%.xlsx' THEN 1 END) AS xlsx, count(CASE WHEN original_name NOT LIKE '%.%' THEN 1 END) AS unknown, min(file_names) AS file_names FROM f JOIN n ON n.draft_id = f.draft_id GROUP BY f.draft_id""")
 def _(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     a = ev.attachment_summary(spark.sql(FILES_SQL))
     kind = lambda k: F.coalesce(F.try_element_at("file_types", F.lit(k)), F.lit(0))
-    return a.select("draft_id", "file_count", "total_size_bytes", kind(".png").alias("png"), kind(".xlsx").alias("xlsx"), kind("unknown").alias("unknown"))
+    return a.select("draft_id", "file_count", "total_size_bytes", kind(".png").alias("png"), kind(".xlsx").alias("xlsx"), kind("unknown").alias("unknown"), F.array_join("file_names", ",").alias("file_names"))
 
 
-@query("draft_events", """SELECT d.draft_id, d.case_id, d.batch_id, 'draft_created' AS event_type, d.company_name, d.buyer_name, coalesce(n, 0) AS lines, coalesce(first_name, '') AS first_name FROM drafts d
-LEFT JOIN (SELECT draft_id, count(*) AS n, arg_min(project_name, line_no) AS first_name FROM dlines GROUP BY draft_id) l ON l.draft_id = d.draft_id""")
+@query("draft_events", """SELECT d.draft_id, d.case_id, d.batch_id, 'draft_created' AS event_type, d.company_name, d.buyer_name, coalesce(n, 0) AS lines, coalesce(names, '') AS names FROM drafts d
+LEFT JOIN (SELECT draft_id, count(*) AS n, string_agg(project_name, '|' ORDER BY line_no, project_name) AS names FROM dlines GROUP BY draft_id) l ON l.draft_id = d.draft_id""")
 def _(spark, sf):
     e = ev.parse_payload(ev.draft_events(view(spark, sf, "drafts"), view(spark, sf, "dlines"), "draft_created", F.col("created_at")))
     return e.select("draft_id", "case_id", "batch_id", "event_type", F.col("p.company_name").alias("company_name"), F.col("p.buyer.name").alias("buyer_name"),
-                    F.greatest(F.coalesce(F.size("p.lines"), F.lit(0)), F.lit(0)).alias("lines"), F.coalesce(F.try_element_at("p.lines", F.lit(1))["project_name"], F.lit("")).alias("first_name"))
+                    F.greatest(F.coalesce(F.size("p.lines"), F.lit(0)), F.lit(0)).alias("lines"), F.coalesce(F.array_join(F.col("p.lines.project_name"), "|"), F.lit("")).alias("names"))
 
 
 LOG_SQL = """SELECT concat('{"event_id":"', event_id, '","case_id":"', case_id, '","draft_id":"', draft_id, '","batch_id":"', batch_id, '","event_type":"', event_type, '","created_at":"', created_at, '","payload":', payload, '}') AS value FROM cev"""

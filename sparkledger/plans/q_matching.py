@@ -60,6 +60,30 @@ def _(spark, sf):
     return matching.match_reissues(matching.reissue_requests(spark.sql(REISSUE_SQL)), invoices)
 
 
+# Requests for the sums of the lines up to 2 and of the rest, which cut the original, or for one round sum, which another invoice may have.
+AMT = "cast(l_extendedprice AS decimal(18,2))"
+PIECES_SQL = f"""SELECT o_orderkey, cast(o_orderkey AS string) AS request_id, lpad(cast(o_orderkey AS string), 20, '0') AS original_no, concat('seller ', cast(c_nationkey AS string)) AS company_name, c_name AS buyer, o_orderstatus,
+  cast(floor(o_totalprice / 50000) * 50000 + 50000 AS int) AS one, a, b FROM orders JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_linenumber <= 2 THEN {AMT} END) AS a, sum(CASE WHEN l_linenumber > 2 THEN {AMT} END) AS b FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey"""
+PIECE_LINES = f"SELECT lpad(cast(l_orderkey AS string), 20, '0') AS invoice_no, cast(l_linenumber AS bigint) * 1000000000000000 + cast(l_partkey AS bigint) * 1000000 + cast(l_suppkey AS bigint) AS line_no, {AMT} AS amount FROM lineitem"
+
+
+@query("reissue_lines", f"""WITH i AS (SELECT lpad(invoice_no, 20, '0') AS invoice_no, seller_name, buyer_name, total_amount, is_positive, issued_at FROM ({INVOICES_SQL}) q), l AS ({PIECE_LINES}),
+p AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN [cast(one AS decimal(18,2))] ELSE list_filter([cast(a AS decimal(18,2)), cast(b AS decimal(18,2))], lambda x: x IS NOT NULL) END AS amounts FROM ({PIECES_SQL}) q),
+t AS (SELECT request_id, original_no, buyer, len(amounts) AS many, unnest(amounts) AS amount, generate_subscripts(amounts, 1) - 1 AS pos FROM p),
+m AS (SELECT t.*, i.invoice_no, row_number() OVER (PARTITION BY request_id, pos ORDER BY issued_at DESC, i.invoice_no) AS rn FROM t LEFT JOIN i ON i.buyer_name = buyer AND total_amount = amount AND is_positive AND i.invoice_no <> original_no),
+f AS (SELECT *, bool_and(invoice_no IS NOT NULL) OVER (PARTITION BY request_id) AS matched_all FROM m WHERE rn = 1),
+c AS (SELECT invoice_no, count(*) AS n FROM l GROUP BY invoice_no)
+SELECT request_id, pos AS group_no, f.invoice_no AS source_no, line_no, l.amount FROM f JOIN l ON l.invoice_no = f.invoice_no WHERE matched_all
+UNION ALL SELECT request_id, CASE WHEN many = 2 AND line_no >= 3000000000000000 THEN 1 ELSE 0 END, original_no, line_no, CASE WHEN many = 1 AND n = 1 THEN f.amount ELSE l.amount END
+FROM f JOIN l ON l.invoice_no = original_no JOIN c ON c.invoice_no = original_no WHERE NOT matched_all AND pos = 0""")
+def _(spark, sf):
+    invoices = _sql(spark, sf, INVOICES_SQL, "orders", "customer", "lineitem").withColumn("invoice_no", F.lpad("invoice_no", 20, "0"))
+    asked = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("开这个数"), F.col("one").cast("string"))).otherwise(F.concat_ws(" ", F.lit("金额分别为"), F.col("a").cast("string"), F.col("b").cast("string")))
+    texts = spark.sql(PIECES_SQL).select("request_id", "company_name", F.concat(F.lit("dzfp_"), "original_no", F.lit(" 作废，"), asked).alias("text"))
+    return matching.reissue_lines(matching.reissue_requests(texts), invoices, spark.sql(PIECE_LINES), size=10**15)
+
+
 # Targets are the sums of the lines numbered up to 2, of 3 to 4, and of the rest: exact cuts.
 SPLIT_LINES = "SELECT cast(l_orderkey AS string) AS invoice_no, cast(l_linenumber AS bigint) * 1000000000000000 + cast(l_partkey AS bigint) * 1000000 + cast(l_suppkey AS bigint) AS line_no, cast(l_extendedprice AS decimal(18,2)) AS amount, CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS part FROM lineitem"
 

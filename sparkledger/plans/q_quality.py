@@ -239,15 +239,22 @@ def _(spark, sf):
     return quality.extraction_confidence(docs).select("doc_id", F.array_join("reasons", "|").alias("reasons"), "confidence")
 
 
-@query("golden_checks", f"""WITH a AS (SELECT draft_id, count(*) AS n, sum({AMOUNT_SQL}) AS total, list_sort(list(DISTINCT tax_rate)) AS rates FROM lines_after GROUP BY draft_id), b AS (SELECT draft_id, count(*) AS n, sum({AMOUNT_SQL}) AS total, list_sort(list(DISTINCT tax_rate)) AS rates FROM lines_before GROUP BY draft_id)
-SELECT b.draft_id AS scenario_id, coalesce(a.n = b.n, false) AS ok_line_count, coalesce(a.total = b.total, false) AS ok_total_amount, coalesce(a.rates = b.rates, false) AS ok_tax_rates FROM b LEFT JOIN a ON a.draft_id = b.draft_id""")
+FACTS_SQL = """SELECT draft_id, count(*) AS n, sum({amount}) AS total, list_sort(list(DISTINCT project_name)) AS names, list_sort(list(DISTINCT tax_category)) AS categories, list_sort(list(DISTINCT tax_rate)) AS rates,
+  list_sort(list(DISTINCT tax_code)) AS codes FROM {lines} GROUP BY draft_id"""
+GOLDEN = {"buyer_name": "a.draft_id IS NOT NULL", "invoice_kind": "a.draft_id IS NOT NULL", "line_count": "a.n = b.n", "total_amount": "a.total = b.total", "project_names": "list_has_all(a.names, b.names)",
+          "tax_categories": "a.categories = b.categories", "tax_rates": "a.rates = b.rates", "tax_codes": "a.codes = b.codes", "valid": "a.draft_id IS NOT NULL"}
+
+
+@query("golden_checks", f"""WITH a AS ({FACTS_SQL.format(amount=AMOUNT_SQL, lines='lines_after')}), b AS ({FACTS_SQL.format(amount=AMOUNT_SQL, lines='lines_before')}),
+c AS (SELECT b.draft_id AS scenario_id, {", ".join(f"coalesce({test}, false) AS ok_{name}" for name, test in GOLDEN.items())} FROM b LEFT JOIN a ON a.draft_id = b.draft_id)
+SELECT *, {" + ".join(f"ok_{name}::int" for name in GOLDEN)} AS checks_passed, {" AND ".join(f"ok_{name}" for name in GOLDEN)} AS passed FROM c""")
 def _(spark, sf):
     def facts(name):
         lines = standardize.standardize_lines(view(spark, sf, name))
         return lines.groupBy(F.col("draft_id").alias("scenario_id")).agg(
             F.lit("b").alias("buyer_name"), F.lit("k").alias("invoice_kind"), F.count(F.lit(1)).alias("line_count"), F.sum("amount").alias("total_amount"),
             *[F.collect_set(c).alias(n) for c, n in (("project_name", "project_names"), ("tax_category", "tax_categories"), ("tax_rate", "tax_rates"), ("tax_code", "tax_codes"))], F.lit(True).alias("valid"))
-    return quality.golden_checks(facts("lines_after"), facts("lines_before")).select("scenario_id", "ok_line_count", "ok_total_amount", "ok_tax_rates")
+    return quality.golden_checks(facts("lines_after"), facts("lines_before"))
 
 
 @query("merge_name_lists", """SELECT c_custkey, CASE WHEN c_mktsegment = c2 THEN c2 ELSE concat(c_mktsegment, '、', c2) END AS names FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey > 12 THEN 'BUILDING' ELSE 'MACHINERY' END AS c2 FROM customer) c""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..sources import tables as src
 from ..streaming import jobs
+from .q_events import PARSED, summary_sql
 from .registry import query
 from .views import table, view
 
@@ -40,12 +41,13 @@ def _(spark, sf):
     return jobs.upsert(old, jobs.clean_profiles(new, "seller"), jobs.SELLER_KEY, ["batch"])
 
 
-@query("publish_rules", "SELECT entry_id AS rule_id, raw_alias, tax_category FROM rules")
+@query("publish_rules", """SELECT 'a' AS tenant, 'v2' AS version, '2024-01-02T00:00:00' AS published_at, row_number() OVER (ORDER BY entry_id) - 1 AS rule_pos, entry_id AS rule_id, raw_alias, normalized_invoice_name, tax_category, tax_code,
+  tax_treatment_or_rate FROM rules""")
 def _(spark, sf):
     rules = view(spark, sf, "rules").withColumn("rule_id", F.col("entry_id"))
     old = jobs.rule_packages(rules.filter(F.col("tier") == 0), "a", "v1", "2024-01-01T00:00:00")
     new = jobs.rule_packages(rules, "a", "v2", "2024-01-02T00:00:00")
-    return ev.latest_rules(old.unionByName(new)).select("rule_id", "raw_alias", "tax_category")
+    return ev.latest_rules(old.unionByName(new)).drop("package_id")
 
 
 @query("pending_events", """SELECT event_id, 'next' AS place FROM (SELECT event_id FROM cev WHERE event_type <> 'failure_report_uploaded' ORDER BY seq LIMIT 50) a
@@ -75,7 +77,9 @@ def _(spark, sf):
     return jobs.new_files(src.file_inventory(files, "/in").join(sellers, "relative_path"), known)
 
 
-@query("case_states", "SELECT tenant, case_id, count(*) AS event_count, arg_max(event_type, seq) AS last_event_type, bool_or(event_type = 'success_recorded') AS assistant_confirmed FROM cev GROUP BY ALL")
+@query("case_states", f"WITH {PARSED} {summary_sql('tenant, case_id')}")
 def _(spark, sf):
-    # The running aggregate of the stream, over everything that arrived so far.
-    return jobs.case_states(view(spark, sf, "cev")).select("tenant", "case_id", "event_count", "last_event_type", "assistant_confirmed")
+    # Partial states of three requests, merged as the store merges them, and finished.
+    log = view(spark, sf, "cev")
+    parts = [ev.partial_states(log.filter(F.pmod("seq", F.lit(3)) == k)) for k in (1, 0, 2)]
+    return ev.finish_states(ev.merge_states(ev.merge_states(parts[0].unionByName(parts[1])).unionByName(parts[2]))).drop("status_label")
