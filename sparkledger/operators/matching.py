@@ -134,6 +134,7 @@ def lines_without_invoices(requests: DataFrame, invoices: DataFrame, rows: DataF
     return history.apply_history(asked, rows, texts, pos).withColumn("source_excerpt", excerpt).drop("text_id", "scope")
 
 
+# How an instruction names the new amount.
 TARGETS = (
     r"开这个数\s*(\d{2,}(?:\.\d{1,2})?)",
     r"按(?:这个|新)?(?:金额|数)\s*(\d{2,}(?:\.\d{1,2})?)\s*重开",

@@ -398,6 +398,7 @@ def failures_by_line(decided: DataFrame) -> DataFrame:
 
 # --- differences ----------------------------------------------------------------------------
 
+# How fields are named in a list of changes.
 HEADER_LABELS = {
     "buyer_name": "购买方名称", "buyer_tax_id": "购买方税号", "buyer_address": "购买方地址", "buyer_phone": "购买方电话", "buyer_bank_name": "购买方开户行",
     "buyer_bank_account": "购买方银行账号", "invoice_kind": "发票类型", "special_business": "特定业务", "note": "备注",
@@ -509,6 +510,7 @@ def draft_issues(drafts: DataFrame, lines: DataFrame) -> DataFrame:
     return d.select("draft_id", F.posexplode(issues).alias("pos", "issue"))
 
 
+# Names of firms and sums in a text.
 COMPANY = f"([{T.HAN}A-Za-z0-9（）()·\\-]{{2,40}}(?:有限公司|有限责任公司|个体工商户|中心|门诊部|医院|学校|大学|研究院|研究所|商店|饭店|物业|餐饮|传媒))"
 _NUMBER, _UNIT = r"\d{1,8}+(?:\.\d{1,2}+)?+\s*+", "(?:元|块钱|块|万元)"
 AMOUNT = (

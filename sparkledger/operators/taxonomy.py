@@ -226,6 +226,7 @@ HINTS = (
     ("清洁剂|洗涤剂|去污|玻璃清洁|清洁液", (("合成洗涤剂|洗涤剂|擦洗膏|去污粉", 64), ("日用杂品|清洁清扫", 34))),
     ("防滑|地垫|脚垫|门垫|浴室垫|垫子", (("地毯|浴室垫|门前垫|机制地毯|挂毯", 62), ("日用塑料制品|其他塑料制品|橡胶制品|纺织产品", 38))),
 )
+# Words of medical goods.
 MEDICAL = "医|药|械|针|电极|耗材|一次性|导管|探头|诊断|治疗|手术|卫生"
 # Entries offered when too few others fit.
 FALLBACK_CODES = (
