@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 CHECKED = (
     "standardize_lines canonical_rates sheet_rates tax_id_quality chinese_amounts classify_documents invoice_profile trusted_history review_filter publishable_rules valid_records "
     "seller_profiles buyer_profiles dedupe_history dominant_line code_hierarchy suggest_taxonomy match_rules coding_states case_summary case_timeline latest_rules "
-    "classify_failures failure_summary exact_history fill_buyers find_parent_batch bundle_sellers extract_notes split_amounts nearby_values ingest_counts pending_events"
+    "classify_failures failure_summary exact_history fill_buyers find_parent_batch bundle_sellers extract_notes split_amounts nearby_values ingest_counts pending_events "
+    "last_observations case_states publish_rules golden_checks attachment_summary draft_events reissue_lines rule_candidates"
 ).split()
 
 
