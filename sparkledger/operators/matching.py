@@ -143,14 +143,18 @@ TARGETS = (
 MOST_TARGETS = 10
 
 
-def reissue_requests(texts: DataFrame) -> DataFrame:
-    """Per instruction text: original invoice numbers and target amounts, both in order. No match, no row."""
+def reissue_requests(texts: DataFrame, most: int | None = MOST_TARGETS) -> DataFrame:
+    """Per instruction text: original invoice numbers and target amounts, both in order. No match, no row.
+
+    The first ``most`` amounts count, by definition ten; None takes all.
+    """
     text = F.coalesce("text", F.lit(""))
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{20})(?!\d)"), F.lit(1)))
     listed = F.regexp_extract_all(F.regexp_extract(text, r"金额\s*分别\s*(?:为|是)?\s*([0-9.,，、\s和及]+)", 1), F.lit(r"\d{2,}(?:\.\d{1,2})?"), F.lit(0))
     single = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in TARGETS]
     raw = F.transform(F.concat(listed, *single), lambda a: a.try_cast("decimal(28,2)"))
-    amounts = F.slice(F.array_distinct(F.filter(raw, lambda a: (a > 0) & (a < 100000000))), 1, MOST_TARGETS)
+    amounts = F.array_distinct(F.filter(raw, lambda a: (a > 0) & (a < 100000000)))
+    amounts = amounts if most is None else F.slice(amounts, 1, most)
     is_reissue = T.squeeze("text").rlike(r"重开|重新开|再开|分[两二三四五六七八九十0-9]+(?:笔|张)|作废|红冲|冲红")
     return texts.select("*", numbers.alias("numbers"), amounts.alias("amounts")).filter(is_reissue & (F.size("numbers") > 0) & (F.size("amounts") > 0))
 

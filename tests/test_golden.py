@@ -142,6 +142,13 @@ def test_reissues_fall_back_to_the_original(spark):
     assert sorted((r.request_id, r.group_no, r.source_no[0], r.name) for r in got) == [("r1", 0, "1", "p"), ("r1", 0, "1", "q"), ("r1", 1, "1", "r"), ("r1", 2, "1", "s"), ("r2", 0, "3", "u")]
 
 
+def test_bounds_can_be_lifted(spark):
+    texts = spark.createDataFrame([("r", "1" * 20 + " 重开 金额分别为 " + " ".join(str(100 + i) for i in range(14)))], "request_id string, text string")
+    assert [matching.reissue_requests(texts, most).select(F.size("amounts").alias("n")).first().n for most in (10, None)] == [10, 14]
+    notes = spark.createDataFrame([("d", "备注：工程一\n" + "\n".join(f"工程{i}" for i in range(9)))], "doc_id string, text string")
+    assert [len(extract.extract_notes(notes, most).first().note.split("\n")) for most in (6, None)] == [6, 10]
+
+
 def test_exclusive_requests_against_brute_force(spark):
     rng = random.Random(7)
     invoices = [(f"i{n:03d}", f"seller{rng.randrange(2)}", f"buyer{rng.randrange(3)}", f"id{rng.randrange(3)}", float(rng.randrange(3)), rng.random() < 0.9, f"2026-01-{rng.randrange(1, 28):02d}") for n in range(60)]
