@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kept import kept_table
+
 CHUNK = 100_000
 TEXT_SPAN = 512
-# Characters of a key that its anchor has, where the key has so many.
+# Characters of a key that its anchor has, where the key has so many; of many keys longer ones have more.
 GRAM = 3
 
 
@@ -146,59 +148,73 @@ def key_lengths(keys: DataFrame, key: str) -> Column:
     return keys.agg(F.array_sort(F.collect_set(F.length(key)))).scalar()
 
 
-def anchored(keys: DataFrame) -> DataFrame:
-    """(_key, _gram, _off): each key with its rarest substring of ``GRAM`` characters and where that begins; a shorter key is its own.
+def anchored(keys: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(_key, _gram, _off): each key with its rarest substring of ``gram`` characters and where that begins.
 
-    Rare among the keys, so that a substring which many keys share draws no texts to all of them.
+    A shorter key has one of ``GRAM`` characters, or is its own. Rare among the keys, so that a substring which many keys share draws no texts to all of them.
     """
-    size = F.least(F.length("_key"), F.lit(GRAM))
-    grams = keys.select("_key", F.explode(substrings(F.col("_key"), F.array(size))).alias("_gram"))
+    grams = keys.select("_key", F.explode(substrings(F.col("_key"), F.array(anchor_size(F.col("_key"), gram)))).alias("_gram"))
     counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = grams.join(counts, "_gram").groupBy("_key").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select("_key", "_a._gram")
+    # Merged, never broadcast: Spark takes exploded rows to be no more than the rows they come from.
+    chosen = grams.join(counts.hint("merge"), "_gram").groupBy("_key").agg(F.min(F.struct("_n", "_gram")).alias("_a")).select("_key", "_a._gram")
     return chosen.withColumn("_off", F.instr("_key", F.col("_gram")))
 
 
-# Bits of the map that tells a text's substrings from those that are no anchor; a fuller one only lets more of them through.
-ANCHOR_BITS = 1 << 17
+def anchor_size(key: Column, gram: int) -> Column:
+    return F.when(F.length(key) >= gram, gram).otherwise(F.least(F.length(key), F.lit(GRAM)))
+
 
+# From so many keys on anchors are long, because all keys that share a short one meet every text that shows it.
+MANY_KEYS = 1 << 14
+LONG_GRAM = 8
+# Up to so many keys, of no more characters in all, their anchors are a table small enough to be sent to all tasks.
+FEW_KEYS = 1 << 14
+FEW_CHARS = 1 << 20
+# Bits of the map that tells a text's substrings from those that are no anchor, by the number of keys; a fuller one only lets more of them through.
+ANCHOR_BITS = (1 << 17, 1 << 23)
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(ANCHOR_BITS))
 
+def _slot(gram: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(bits))
 
-def _anchor_map(anchors: DataFrame) -> Column:
-    """The bit map of the anchors, 64 bits to a number, as a scalar subquery of fixed size."""
-    words = anchors.select(_slot(F.col("_gram")).alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
+
+def _anchor_map(anchors: DataFrame, bits: int) -> Column:
+    """The bit map of the anchors, 64 bits to a number, as a scalar subquery of bounded size."""
+    words = anchors.select(_slot(F.col("_gram"), bits).alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
     filled = words.groupBy("w").agg(F.bit_or("b").alias("b"))
-    every = anchors.sparkSession.range(ANCHOR_BITS // 64).select(F.col("id").cast("int").alias("w")).join(filled, "w", "left")
+    every = anchors.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(filled, "w", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))), lambda x: x["b"]).alias("m")).scalar()
 
 
 def contained_in(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key: str, long_text: bool = False) -> DataFrame:
     """Distinct (text_id, key) pairs where the text contains the key.
 
-    ``texts`` should be distinct already. Every key waits at one anchor, a few of its characters. The places of a text that show an anchor come to
-    it with the few characters around them, as many as the longest key needs, never with the text; a bit map of fixed size drops all other places where
-    they are read. For any number of keys. With ``long_text`` each text is first cut into spans that overlap by the longest key, so that a row
-    never spreads a whole document.
+    ``texts`` should be distinct already. The distinct keys and their anchors are written once, so that the plan of the keys ends there. Every key
+    waits at one anchor, a few of its characters. The places of a text that show an anchor come to
+    it with the few characters around them, as many as the longest key needs, never with the text; a bit map of bounded size drops all other places where
+    they are read. For any number of keys: with many, anchors are longer, so that each stays with few keys. With ``long_text`` each text is first cut
+    into spans that overlap by the longest key, so that a row never spreads a whole document.
     """
-    wanted = keys.select(F.col(key).alias("_key")).filter(F.col("_key") != "").distinct()
-    facts = wanted.agg(F.array_sort(F.collect_set(F.least(F.length("_key"), F.lit(GRAM)))).alias("sizes"), F.coalesce(F.max(F.length("_key")), F.lit(1)).alias("longest"))
-    facts = facts.select(F.struct("sizes", "longest").alias("f")).scalar()
-    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"), facts.alias("_f"))
+    wanted = kept_table(keys.select(F.col(key).alias("_key")).filter(F.col(key) != "").distinct(), "keys")
+    count, longest, chars = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("_key")), F.lit(1)), F.coalesce(F.sum(F.length("_key")), F.lit(0))).first()
+    gram = LONG_GRAM if count > MANY_KEYS else GRAM
+    sizes = [r[0] for r in wanted.select(anchor_size(F.col("_key"), gram)).distinct().collect()]
+    base = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"))
     if long_text:
         starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(TEXT_SPAN))
-        base = base.select("_id", F.explode(starts).alias("_at"), "_text", "_f").select(
-            "_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN) + F.col("_f.longest") - 1).alias("_text"), "_f"
-        )
-    anchors = anchored(wanted)
-    sized = base.select("_id", "_text", F.col("_f.longest").alias("_longest"), F.explode("_f.sizes").alias("_size")).filter(F.length("_text") >= F.col("_size"))
-    places = sized.select("_id", "_text", "_longest", "_size", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1)).alias("_at"))
-    grams = places.withColumn("_gram", F.substring(F.col("_text"), F.col("_at"), F.col("_size"))).withColumn("_slot", _slot(F.col("_gram")))
-    bits = F.get(_anchor_map(anchors), (F.col("_slot") / 64).cast("int"))
+        base = base.select("_id", F.explode(starts).alias("_at"), "_text").select("_id", F.substring(F.col("_text"), F.col("_at"), F.lit(TEXT_SPAN + longest - 1)).alias("_text"))
+    anchors = kept_table(anchored(wanted, gram), "anchors")
+    sized = base.select("_id", "_text", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("_size")).filter(F.length("_text") >= F.col("_size"))
+    places = sized.select("_id", "_text", "_size", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1)).alias("_at"))
+    slots = min(max(ANCHOR_BITS[0], 1 << (16 * count).bit_length()), ANCHOR_BITS[1])
+    grams = places.withColumn("_gram", F.substring(F.col("_text"), F.col("_at"), F.col("_size"))).withColumn("_slot", _slot(F.col("_gram"), slots))
+    bits = F.get(_anchor_map(anchors, slots), (F.col("_slot") / 64).cast("int"))
     shown = grams.filter(F.getbit(bits, F.col("_slot") % 64) == 1)
-    start = F.greatest(F.col("_at") - F.col("_longest"), F.lit(0)) + 1
-    around = shown.select("_id", "_gram", (F.col("_at") - start).alias("_rel"), F.substring(F.col("_text"), start, F.col("_at") - start + F.col("_longest")).alias("_near"))
+    start = F.greatest(F.col("_at") - longest, F.lit(0)) + 1
+    around = shown.select("_id", "_gram", (F.col("_at") - start).alias("_rel"), F.substring(F.col("_text"), start, F.col("_at") - start + longest).alias("_near"))
     begin = F.col("_rel") - F.col("_off") + 2
     same = (begin >= 1) & (F.substring(F.col("_near"), begin, F.length("_key")) == F.col("_key"))
-    return around.join(anchors, "_gram").filter(same).select(F.col("_id").alias(text_id), F.col("_key").alias(key)).distinct()
+    # The places are many more than the rows that Spark guesses them by, so they are never the side that is sent.
+    small = count <= FEW_KEYS and chars <= FEW_CHARS
+    met = around.join(F.broadcast(anchors) if small else anchors.hint("merge"), "_gram")
+    return met.filter(same).select(F.col("_id").alias(text_id), F.col("_key").alias(key)).distinct()
