@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from sparkledger.functions import skew
 from sparkledger.operators import history, matching
 
@@ -42,3 +44,13 @@ def test_resolve_buyers_reads_a_wording_once_per_scope(spark):
     found = history.resolve_buyers(spark.createDataFrame(texts, "text_id int, scope string, text string"), spark.createDataFrame(buyers, "scope string, buyer_name string, buyer_tax_id string, pos int"))
     assert not sent(found, "said", "alias_key", "buyer_name", "text")
     assert {(r.text_id, r.matched_alias, r.buyer_tax_id) for r in found.collect()} == {(1, "沈阳某某公司", "A"), (2, "沈阳某某公司", "A"), (3, "某某公司", "C"), (6, "大连其他公司", "B")}
+
+
+def test_computed_columns_are_not_copied_into_filters(spark):
+    from sparkledger.functions.kept import computed
+
+    df = spark.createDataFrame([(" a ", 1), ("b", 2)], "t string, n int")
+    out = computed(df, t=F.regexp_replace("t", "a", "x"), u=F.col("n") + 1).filter((F.col("t") != "") & ~F.col("t").contains("y"))
+    assert df.columns + ["u"] == ["t", "n", "u"] and sorted(out.columns) == ["n", "t", "u"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert {(r.t, r.n, r.u) for r in out.collect()} == {(" x ", 1, 2), ("b", 2, 3)}
