@@ -54,3 +54,16 @@ def test_computed_columns_are_not_copied_into_filters(spark):
     assert df.columns + ["u"] == ["t", "n", "u"] and sorted(out.columns) == ["n", "t", "u"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     assert {(r.t, r.n, r.u) for r in out.collect()} == {(" x ", 1, 2), ("b", 2, 3)}
+
+
+def test_split_amounts_shuffles_marks_twice(spark):
+    from sparkledger.operators import extract
+
+    rows = [
+        (1, "科技 一个点\n金额：\n100\n20.5\n20.5\n完\n77"), (2, "1% 服务\n88\nx\n7.5"), (3, "3%\n1\n2"), (4, "服务 1%\n金额\n5\n完\n6\n1234567"), (5, "服务 1%\n\n金额:\n 5 \n金额\n6.1\r\n9"), (6, "服务 1%\n5\n5.00"),
+        (7, None), (None, "服务 1%\n5\n6"), (8, "服务 1%\n5"), (8, "服务 1%\nx\n6"),
+    ]
+    found = extract.split_amounts(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    want = [(1, 2, "100.00"), (1, 3, "20.50"), (2, 1, "88.00"), (2, 3, "7.50"), (4, 2, "5.00"), (4, 4, "6.00"), (5, 2, "5.00"), (5, 4, "6.10"), (5, 5, "9.00"), (8, 1, "5.00"), (8, 1, "5.00"), (8, 2, "6.00"), (8, 2, "6.00")]
+    assert sorted((r.doc_id, r.n, r.amount_with_tax) for r in found.collect()) == want
