@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions import text as T
+from ..functions.kept import kept_table
 
 ENTRY = ["official_code", "official_name", "category_short_name"]
 
@@ -147,33 +148,31 @@ def resolve_codes(
     """Adds ``resolved_code`` and ``resolved_short``: by category, else by item name, promoted to a leaf.
 
     Lines with a code keep it; the sheet form also promotes that code and takes its short name.
-    ``categories`` and ``names`` (column ``v``) may list the values to match, where a caller knows them
-    without running the plan behind ``lines`` once more.
+    ``categories`` and ``names`` (column ``v``) may list the values as the lines spell them, where a caller knows
+    them without running the plan behind ``lines`` once more. Each spelling is matched once, and lines meet the result by their spelling.
     """
     code = T.strip("tax_code")
-    category, name = T.alias_key("tax_category"), T.alias_key("project_name")
+    taxonomy = kept_table(taxonomy, "taxonomy")
     shorts = skew.first_by(taxonomy.select("official_code", "category_short_name"), ["official_code"], ["category_short_name"])
-    leaf = code_hierarchy(taxonomy).select("official_code", "leaf_code").join(
+    leaf = kept_table(code_hierarchy(taxonomy).select("official_code", "leaf_code").join(
         shorts.select(F.col("official_code").alias("leaf_code"), F.col("category_short_name").alias("leaf_short")), "leaf_code", "left"
-    ).select("official_code", F.struct("leaf_code", "leaf_short").alias("leaf"))
-
-    def values(given: DataFrame | None, column: str) -> DataFrame:
-        return (lines.select(F.col(column).alias("v")) if given is None else given).select(T.alias_key("v").alias("q"))
+    ).select("official_code", F.struct("leaf_code", "leaf_short").alias("leaf")), "leaves")
 
     def dimension(given: DataFrame | None, column: str, short_equal: int, key: str, out: str) -> DataFrame:
-        found = match_entries(values(given, column), taxonomy, short_equal, pos)
-        return found.join(leaf, "official_code").select(F.col("q").alias(key), F.col("leaf").alias(out))
-
-    base = lines.withColumns({"_cq": category, "_nq": name})
-    found = base.join(dimension(categories, "tax_category", 120, "_cq", "_by_category"), "_cq", "left").join(
-        dimension(names, "project_name", 105, "_nq", "_by_name"), "_nq", "left"
-    )
+        values = (lines.select(F.col(column).alias("v")) if given is None else given).distinct()
+        spelt = kept_table(values.select("v", T.alias_key("v").alias("q")).filter(F.col("q") != ""), "spellings")
+        found = match_entries(spelt, taxonomy, short_equal, pos).join(leaf, "official_code")
+        return spelt.join(found, "q").select(F.col("v").alias(key), F.col("leaf").alias(out))
+
+    base = lines.withColumns({"_cv": F.col("tax_category"), "_nv": F.col("project_name")})
+    found = skew.looked_up(base, dimension(categories, "tax_category", 120, "_cv", "_by_category"), "_cv")
+    found = skew.looked_up(found, dimension(names, "project_name", 105, "_nv", "_by_name"), "_nv")
     if sheet:
-        found = found.withColumn("_given", code).join(leaf.select(F.col("official_code").alias("_given"), F.col("leaf").alias("_own")), "_given", "left")
+        found = skew.looked_up(found.withColumn("_given", code), leaf.select(F.col("official_code").alias("_given"), F.col("leaf").alias("_own")), "_given")
     else:
         found = found.withColumn("_own", F.lit(None).cast("struct<leaf_code:string,leaf_short:string>"))
     # A general name is not looked up on its own, only next to a category.
-    allowed = F.when((F.col("_cq") != "") | ~T.is_uncoded_name("project_name"), F.col("_by_name"))
+    allowed = F.when((T.alias_key("tax_category") != "") | ~T.is_uncoded_name("project_name"), F.col("_by_name"))
     best = F.coalesce("_by_category", allowed)
     own_short = T.or_none("tax_category")
     return found.withColumn("_best", best).select(

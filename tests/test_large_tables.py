@@ -67,3 +67,30 @@ def test_split_amounts_shuffles_marks_twice(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
     want = [(1, 2, "100.00"), (1, 3, "20.50"), (2, 1, "88.00"), (2, 3, "7.50"), (4, 2, "5.00"), (4, 4, "6.00"), (5, 2, "5.00"), (5, 4, "6.10"), (5, 5, "9.00"), (8, 1, "5.00"), (8, 1, "5.00"), (8, 2, "6.00"), (8, 2, "6.00")]
     assert sorted((r.doc_id, r.n, r.amount_with_tax) for r in found.collect()) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resolved_codes_come_from_written_tables(spark):
+    from sparkledger.operators import taxonomy
+
+    lines = [(1, "", "Red Mill", ""), (2, "", "red-mill", "1010000000000000000"), (3, "FOOD", "x", ""), (4, None, None, None), (5, "", "", " "), (6, "food ", "Red Mill", "1020000000000000000")]
+    tree = [("1010000000000000000", "food", "FOOD", ""), ("1010100000000000000", "其他food", "FOOD", ""), ("1020100000000000000", "red mill", "MILL", "")]
+    df = spark.createDataFrame(lines, "line_no int, tax_category string, project_name string, tax_code string")
+    found = taxonomy.resolve_codes(df, spark.createDataFrame(tree, "official_code string, official_name string, category_short_name string, description string"))
+    # Neither side of a join with the lines holds an aggregate, so a hot key can be split or is not shuffled at all.
+    assert "Aggregate" not in plan_of(found) and "Generate" not in plan_of(found)
+    want = {1: "1020100000000000000", 2: "1010000000000000000", 3: "1010100000000000000", 4: "", 5: "", 6: "1020000000000000000"}
+    assert {r.line_no: r.resolved_code for r in found.collect()} == want
+
+
+def test_looked_up_sends_few_rows_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None), (5, "a")], "n int, k string")
+    table = spark.createDataFrame([("a", 7), ("c", 8)], "k string, v int")
+    for most, join in ((1 << 16, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+        monkeypatch.setattr(skew, "FEW_ROWS", most)
+        found = skew.looked_up(rows, table, "k")
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.n, r.v) for r in found.collect()} == {(1, 7), (2, None), (3, None), (4, None), (5, 7)}
