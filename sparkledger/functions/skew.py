@@ -43,6 +43,12 @@ def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.select(*keys, "_row.*").select(*df.columns)
 
 
+def digest(values: list[Column]) -> Column:
+    """128 bits that stand for a list of values; equal for equal lists only, up to collisions. Each value goes in with its length, so none runs into the next."""
+    text = [v.cast("string") for v in values]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])))
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_as: str | None = None) -> DataFrame:
     """First n rows per key. Spark limits each group before the shuffle, so a hot key stays small."""
     name = rank_as or "_rank"

@@ -43,7 +43,7 @@ def _(spark, sf):
 @query("dedupe_history", """SELECT min(concat(source_file, ' ', line_key)) AS first_row, count(*) AS copies, min(seller_name) AS seller_name FROM hist_exports
 GROUP BY seller_tax_id, seller_name, buyer_tax_id, buyer_name, serial, substr(invoice_date, 1, 10), full_item_name, tax_code, tax_rate, amount, tax_amount, amount_with_tax""")
 def _(spark, sf):
-    return profiles.dedupe_history(view(spark, sf, "hist_exports")).select(
+    return profiles.dedupe_history(view(spark, sf, "hist_exports"), columns=("source_file", "line_key", "seller_name")).select(
         F.concat_ws(" ", "source_file", "line_key").alias("first_row"), "copies", "seller_name")
 
 

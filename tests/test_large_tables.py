@@ -107,3 +107,18 @@ def test_wordings_are_matched_once_and_meet_their_lines_by_text(spark):
     assert "Generate" not in plan_of(found)
     got = {r.n: r.rule and (r.rule.entry_id, r.rule.score) for r in found.collect()}
     assert got == {1: ("L", 90), 2: ("T", 55), 3: ("L", 55), 4: None, 5: None, 6: None}
+
+
+def test_history_copies_travel_by_a_digest(spark):
+    from sparkledger.operators import profiles
+
+    names = "source_file line_key seller_tax_id seller_name buyer_tax_id buyer_name serial invoice_date full_item_name project_name tax_code tax_rate".split()
+    row = lambda f, k, seller="S 1", date="2024-01-01": (f, k, "1", seller, "2", "b", "9", date, "*x*y", "y", "10", "6%", 1.0, 0.1, 1.1)
+    rows = [row("b", "1"), row("a", "2", "s1"), row("a", "3", date=None), row("a", "4", date=""), row("a", "5", "1S"), row("a", "6", date=None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", amount double, tax_amount double, amount_with_tax double")
+    whole, few = profiles.dedupe_history(df), profiles.dedupe_history(df, columns=("line_key",))
+    assert whole.columns == [*df.columns, "copies"] and few.columns == ["line_key", "copies"]
+    for found in (whole, few):
+        assert "hashpartitioning(_key" in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.line_key, r.copies) for r in found.collect()} == {("2", 2), ("3", 2), ("4", 1), ("5", 1)}
+    assert {r.seller_name for r in whole.collect()} == {"s1", "S 1", "1S"}
