@@ -409,27 +409,28 @@ LINE_LABELS = {
 }
 
 
-def _changes(pairs) -> Column:
+def _changed(pairs) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
-    return F.explode(F.array_compact(F.array(*[F.when(text(b) != text(a), F.struct(label.alias("field_name"), text(b).alias("before"), text(a).alias("after"))) for label, b, a in pairs])))
+    return F.array_compact(F.array(*[F.when(text(b) != text(a), F.struct(label.alias("field_name"), text(b).alias("before"), text(a).alias("after"))) for label, b, a in pairs]))
 
 
 def diff_drafts(before: DataFrame, after: DataFrame, lines_before: DataFrame, lines_after: DataFrame) -> DataFrame:
     """Changed header fields and line fields; lines that came or went are shown as JSON."""
     heads = before.alias("b").join(after.alias("a"), "draft_id").select(
-        "draft_id", F.lit(0).cast("bigint").alias("line_no"), _changes([(F.lit(label), F.col(f"b.{c}"), F.col(f"a.{c}")) for c, label in HEADER_LABELS.items()]).alias("d")
+        "draft_id", F.lit(0).cast("bigint").alias("line_no"), F.explode(_changed([(F.lit(label), F.col(f"b.{c}"), F.col(f"a.{c}")) for c, label in HEADER_LABELS.items()])).alias("d")
     )
     keys = ["draft_id", "line_no"]
     b = lines_before.select(*keys, F.struct(*LINE).alias("b"))
     a = lines_after.select(*keys, F.struct(*LINE).alias("a"))
     both = b.join(a, keys, "full").withColumn("head", F.concat(F.lit("第 "), F.col("line_no").cast("string"), F.lit(" 行")))
-    one = lambda name, old, new: F.struct(name.alias("field_name"), old.alias("before"), new.alias("after"))
-    gone = both.filter(F.col("a").isNull()).select(*keys, one(F.col("head"), F.to_json("b"), F.lit("已删除")).alias("d"))
-    new = both.filter(F.col("b").isNull()).select(*keys, one(F.col("head"), F.lit("空"), F.to_json("a")).alias("d"))
-    kept = both.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
-        *keys, _changes([(F.concat("head", F.lit(label)), F.col(f"b.{c}"), F.col(f"a.{c}")) for c, label in LINE_LABELS.items()]).alias("d")
+    one = lambda name, old, new: F.array(F.struct(name.alias("field_name"), old.alias("before"), new.alias("after")))
+    # Lines meet once; what is shown of a line comes out of the row that holds both of its sides.
+    shown = (
+        F.when(F.col("a").isNull(), one(F.col("head"), F.to_json("b"), F.lit("已删除")))
+        .when(F.col("b").isNull(), one(F.col("head"), F.lit("空"), F.to_json("a")))
+        .otherwise(_changed([(F.concat("head", F.lit(label)), F.col(f"b.{c}"), F.col(f"a.{c}")) for c, label in LINE_LABELS.items()]))
     )
-    return heads.unionByName(gone).unionByName(new).unionByName(kept).select(*keys, "d.*", F.lit("user").alias("edit_source"))
+    return heads.unionByName(both.select(*keys, F.explode(shown).alias("d"))).select(*keys, "d.*", F.lit("user").alias("edit_source"))
 
 
 # --- review ---------------------------------------------------------------------------------

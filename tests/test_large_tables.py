@@ -122,3 +122,15 @@ def test_history_copies_travel_by_a_digest(spark):
         assert "hashpartitioning(_key" in found._jdf.queryExecution().executedPlan().toString()
         assert {(r.line_key, r.copies) for r in found.collect()} == {("2", 2), ("3", 2), ("4", 1), ("5", 1)}
     assert {r.seller_name for r in whole.collect()} == {"s1", "S 1", "1S"}
+
+
+def test_diff_drafts_joins_the_lines_once(spark):
+    from sparkledger.operators import quality
+    from sparkledger.operators.coding import LINE
+
+    heads = lambda note: spark.createDataFrame([("d", *["h"] * (len(quality.HEADER_LABELS) - 1), note)], ", ".join(f"{c} string" for c in ("draft_id", *quality.HEADER_LABELS)))
+    lines = lambda *rows: spark.createDataFrame([("d", n, v, *["x"] * (len(LINE) - 2), None) for n, v in rows], "draft_id string, line_no bigint, " + ", ".join(f"{c} string" for c in LINE))
+    found = quality.diff_drafts(heads("a"), heads("b"), lines((1, "p"), (2, "q"), (3, "r")), lines((2, "q"), (3, "s"), (4, "t")))
+    assert plan_of(found).count("Join ") == 2
+    got = {(r.line_no, r.field_name): (r.before[:1], r.after[:1]) for r in found.collect()}
+    assert got == {(0, "备注"): ("a", "b"), (1, "第 1 行"): ("{", "已"), (3, "第 3 行项目名称"): ("r", "s"), (4, "第 4 行"): ("空", "{")}
