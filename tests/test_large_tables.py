@@ -134,3 +134,11 @@ def test_diff_drafts_joins_the_lines_once(spark):
     assert plan_of(found).count("Join ") == 2
     got = {(r.line_no, r.field_name): (r.before[:1], r.after[:1]) for r in found.collect()}
     assert got == {(0, "备注"): ("a", "b"), (1, "第 1 行"): ("{", "已"), (3, "第 3 行项目名称"): ("r", "s"), (4, "第 4 行"): ("空", "{")}
+
+
+def test_lines_to_dedupe_travel_by_a_digest(spark):
+    names = "project_name specification quantity unit_price amount_with_tax".split()
+    rows = [(3, "a", "", "1", "2", "2"), (1, " a ", "", "1", "2", "2.00"), (2, "", "a", "1", "2", "2"), (4, None, "a", "1", "2", "2"), (5, "a", "", "1", "2", "3")]
+    found = matching.dedupe_lines(spark.createDataFrame(rows, "line_no int, " + ", ".join(f"{n} string" for n in names)), [], ["line_no"])
+    assert "hashpartitioning(_key" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.line_no for r in found.collect()} == {1, 2, 5}
