@@ -101,7 +101,7 @@ def test_wordings_are_matched_once_and_meet_their_lines_by_text(spark):
 
     rules = [(1, "L", "blue mill", "B", "", "6%", "x", "blue"), (0, "T", "red mill", "R", "", "1%", "y", "red")]
     rules = spark.createDataFrame(rules, "tier int, entry_id string, normalized_invoice_name string, tax_category string, tax_code string, tax_treatment_or_rate string, source_label string, raw_alias string")
-    lines = spark.createDataFrame([(1, "Blue wheel", "c"), (2, "", "c"), (3, "", "d"), (4, None, "e"), (5, "wheel", "c"), (6, "", None)], "n int, project_name string, context_id string")
+    lines = spark.createDataFrame([(1, "Blue wheel", "c"), (2, "", "c"), (3, "", "d"), (4, None, "e"), (5, "iron wheels", "c"), (6, "", None)], "n int, project_name string, context_id string")
     contexts = spark.createDataFrame([("c", "a blue one"), ("c", "a red one"), ("d", "a blue one"), ("e", None), (None, "a red one")], "context_id string, context_text string")
     found = coding.match_rules(lines, rules, contexts)
     assert "Generate" not in plan_of(found)
