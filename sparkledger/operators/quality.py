@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions import text as T
+from ..functions.kept import kept_table
 from . import taxonomy as tree
 from .coding import LINE
 from .filters import is_low_confidence
@@ -336,7 +337,8 @@ def apply_repairs(targeted: DataFrame, lines: DataFrame) -> tuple[DataFrame, Dat
     records = targeted.filter((F.col("repair_status") == "ready") & (F.col("repair_field") == "line_tax_rate")).select(
         "draft_id", "pos", F.col("target_line_no").alias("line_no"), F.col("repair_value").alias("value")
     )
-    aimed = records.join(keyed.select("draft_id", "line_no", "_key"), ["draft_id", "line_no"])
+    # Written once: the steps and the rates they start from read it.
+    aimed = kept_table(records.join(keyed.select("draft_id", "line_no", "_key"), ["draft_id", "line_no"]), "repairs")
     steps = aimed.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_key").alias("key"), "value"))).alias("steps"))
     values = keyed.filter(own != "").select("draft_id", "_key", own.alias("_value")).unionByName(aimed.select("draft_id", "_key", F.lit("").alias("_value")).filter(F.col("_key").startswith("line:")))
     start = values.join(steps.select("draft_id"), "draft_id", "left_semi").distinct().groupBy("draft_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("start"))
