@@ -142,3 +142,82 @@ def test_lines_to_dedupe_travel_by_a_digest(spark):
     found = matching.dedupe_lines(spark.createDataFrame(rows, "line_no int, " + ", ".join(f"{n} string" for n in names)), [], ["line_no"])
     assert "hashpartitioning(_key" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.line_no for r in found.collect()} == {1, 2, 5}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    from sparkledger.functions import text as T
+
+    chars = spark.range(0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    texts = chars.select("c", F.concat("c", F.lit(" a"), "c", F.lit("b "), "c").alias("t"))
+    by_pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", ""), F.regexp_replace("t", r"(?U)\s+", "")
+    odd = texts.select("c", T.strip("t").alias("a"), T.squeeze("t").alias("b"), by_pattern[0].alias("x"), by_pattern[1].alias("y")).filter("a <> x or b <> y")
+    assert odd.collect() == []
+    assert "regexp" not in optimized(texts.select(T.strip("t"))).split("Project")[1]
+    assert spark.createDataFrame([(None,), ("　",)], "t string").select(T.strip("t").alias("s")).collect() == [("",), ("",)]
+
+
+EVENTS = [
+    ("T", "C", 1, "draft_created", "t1", '{"extract_strategy":"rules_only","material_summary":{"file_names":["a.png","b.pdf"]}}'),
+    ("T", "C", 2, "batch_smart_code_completed", "t2", '{"smart":1}'),
+    ("T", "C", 3, "draft_created", "t3", None),
+    ("T", None, 4, "odd", "t4", "{"),
+]
+
+
+def test_payloads_of_a_case_are_read_once(spark):
+    from sparkledger.operators import events as ev
+
+    rows = spark.createDataFrame(EVENTS, "tenant string, case_id string, seq bigint, event_type string, created_at string, payload string")
+    rolled, steps = ev.case_rollups(rows), ev.workflow_steps(rows)
+    assert "from_json" not in optimized(rolled) and "from_json" not in optimized(steps)
+    one = rolled.filter("case_id = 'C'").first()
+    assert (one.capabilities, one.files, one.actions) == (["rules_only", "tax_code_router", "llm_taxonomy"], ["a.png", "b.pdf"], ["生成单张草稿", "点击批量智能赋码/复核"])
+    assert steps.filter("case_id = 'C' and phase = 'draft'").first().last_at == "t3"
+
+
+def test_learned_edits_are_joined_once(spark):
+    from sparkledger.operators import coding
+
+    schema = "draft_id string, line_no int, project_name string, tax_category string, tax_code string, tax_rate string"
+    before = spark.createDataFrame([("d", 1, " pen", "x", "", "3%"), ("d", 2, "ink", "x", "1", None)], schema)
+    after = spark.createDataFrame([("d", 1, "pen ", "y", "7", "0.13"), ("d", 2, "ink", "x", "1", "3％"), ("e", 1, "cap", "z", "", "")], schema)
+    rules = spark.createDataFrame([("K", "cap", "z", "", "3%", "ready")], "rule_id string, raw_alias string, tax_category string, tax_code string, tax_treatment_or_rate string, status string")
+    learned = coding.learn_rules(before, after, rules)
+    assert "b_tax_rate" not in optimized(learned)
+    assert {(r.raw_alias, r.status, r.tax_treatment_or_rate) for r in learned.collect()} == {("pen", "ready", "13%"), ("cap", "merged", "3%")}
+
+
+def test_sheet_headers_are_tokenised_once(spark):
+    from sparkledger.operators import extract
+
+    rows = [("s", 1, 0, ["note", ""]), ("s", 1, 1, ["序号", "商品名称（必填）", "金额", "税率(%)", None]), ("s", 1, 2, ["1", " 2、pen ", "￥1,5", "13", ""]), ("s", 1, 3, ["2", "合计", "15", "", ""]), ("t", 1, 0, None)]
+    lines = extract.table_to_lines(spark.createDataFrame(rows, "source string, sheet int, row bigint, cells array<string>"))
+    assert optimized(lines).count("%]+, ") <= 1  # the pattern of a header's token
+    assert [(r.project_name, r.amount_with_tax, r.tax_rate, r.unit) for r in lines.collect()] == [("pen", "15.00", "13%", "项")]
+
+
+def test_remarks_and_invoice_lines_are_cut_once(spark):
+    from sparkledger.operators import extract
+
+    text = "备注：合同 7\n第二行\n数量 3\n开票人 x\n项目名称：沈阳市项目部\n顷\n顺目地址：大连"
+    notes = extract.extract_notes(spark.createDataFrame([(1, text), (2, None), (2, "项目地址:a")], "doc_id int, text string"))
+    assert "split(" not in optimized(notes)
+    assert sorted((r.doc_id, r.note) for r in notes.collect()) == [(1, "合同 7\n第二行\n项目名称:沈阳市项目部\n项目地址:大连"), (2, "项目地址:a"), (2, "项目地址:a")]
+    heads = spark.createDataFrame([("i", "10", "", "专用"), ("j", "-1", "", ""), (None, "1", "", "")], "invoice_no string, total_amount string, positive_flag string, kind_text string")
+    items = spark.createDataFrame([("i", "*c*n", "3", ""), ("i", "**m**", "2", "6%"), ("i", "", "2", ""), ("j", "k", "x", "")], "invoice_no string, full_item_name string, amount_with_tax string, tax_rate string")
+    whole = matching.assemble_invoices(heads, items)
+    assert "split(" not in optimized(whole)
+    assert {(r.invoice_no, r.line_count, r.tax_category, r.project_name, r.amount_with_tax, r.tax_rate) for r in whole.collect()} == {("i", 2, "c", "n", "3.00", "1%"), ("i", 2, "", "m", "2.00", "6%"), ("j", 0, None, None, None, None)}
+
+
+def test_history_is_read_once_for_items(spark):
+    row = "scope string, project_name string, tax_category string, tax_code string, tax_rate string, unit string, specification string, quantity string, line_count bigint, copies bigint, pos bigint"
+    rows = spark.createDataFrame([("s", "red pen", "c", "1", "0.13", "", "", "2", 1, 1, 1), ("s", "Red Pen", "c", "1", "13%", "", "", "2", 1, 1, 2), ("s", "blue ink", "c", "2", "6%", "", "", "1", 1, 1, 3)], row)
+    ranked = history.ranked_rows(rows, ["pos"])
+    found = history.fuzzy_history(spark.createDataFrame([("s", "BESTREDPEN", ""), ("s", "服务费", ""), ("t", "X", "")], "scope string, key string, text_id string"), ranked)
+    assert "pos" in ranked.columns and "LogicalRDD" not in optimized(ranked) and "LogicalRDD" not in optimized(found)
+    assert {r.key: r.project_name for r in found.collect()} == {"BESTREDPEN": "red pen"}
