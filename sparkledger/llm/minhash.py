@@ -7,7 +7,9 @@ sub-keys of one collection: they are missed with a probability of about ``2 * (1
 at 0.82. Links are confirmed on the full shingle sets.
 
 A table key can only be shared if both of its sub-keys are, so sub-keys that a single class has are dropped before tables are formed:
-a text without a relative costs its sub-keys only. Equal sets are one class. In a table each class first meets the most central one, whose
+a text without a relative costs its sub-keys only. Of the classes left, those with so many shingles of their own, held by no other of them, that
+no link is possible are dropped too, and pairs are bounded by what either can share: the copies of a text that were changed too much to be
+linked would all meet each other. Equal sets are one class. In a table each class first meets the most central one, whose
 sub-keys are shared most widely; a group of many copies gives a row per copy. Classes still apart then meet all others of their table.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import class_id, components, fits, verified, wanted_classes, whole_sets
@@ -78,33 +80,59 @@ def shared_keys(classes: DataFrame, side: int) -> DataFrame:
     return made.filter((F.size("firsts") > 0) & (F.size("seconds") > 0))
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(c, own): how many shingles of a class no other class of ``sets`` has. Counted with partial sums, so a hot shingle is no hot task."""
+    held = sets.select(F.explode("grams").alias("gram"), "c").groupBy("gram").agg(F.min("c").alias("c"), F.max("c").alias("_high"))
+    return held.filter("c = _high").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+
+
+def within_reach(shared: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The classes of ``shared`` with enough shingles for a link that others have too; ``common`` is their number."""
+    known = shared.join(own, "c", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return known.filter(100 * F.col("common") >= percent * F.col("n"))
+
+
+def can_link(common: str, n: str, other: str, m: str, percent: int) -> Column:
+    """Whether two classes can share enough: the intersection has at most what either of them shares with any class."""
+    return F.least(common, other) * (100 + percent) >= percent * (F.col(n) + F.col(m))
+
+
 def in_tables(shared: DataFrame) -> DataFrame:
-    """(key, c, n, reach): a row per table key, the pairs of first and second sub-keys."""
-    first = shared.select("c", "n", "reach", "seconds", F.explode("firsts").alias("first"))
-    both = first.select("c", "n", "reach", "first", F.explode("seconds").alias("second"))
-    rows = both.select(F.xxhash64("first", "second").alias("key"), "c", "n", "reach")
+    """(key, c, n, reach, common): a row per table key, the pairs of first and second sub-keys, with what else ``shared`` tells of the class."""
+    rest = [x for x in shared.columns if x not in ("firsts", "seconds")]
+    both = shared.select(*rest, "seconds", F.explode("firsts").alias("first")).select(*rest, "first", F.explode("seconds").alias("second"))
+    rows = both.select(F.xxhash64("first", "second").alias("key"), *rest)
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
     return rows.join(many, "key", "left_semi")
 
 
 def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class of a table with the table's most central one, ``b``."""
-    rank = F.struct((-F.col("reach")).alias("r"), F.col("c").alias("b"), F.col("n").alias("bn"))
-    leaders = rows.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead.b", "lead.bn")
-    met = rows.join(leaders, "key").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent))
+    rank = F.struct((-F.col("reach")).alias("r"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"))
+    leaders = rows.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead.b", "lead.bn", "lead.bcommon")
+    met = rows.join(leaders, "key").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
     return met.select(F.col("c").alias("a"), "b").distinct()
 
 
+def mixed_tables(rows: DataFrame) -> DataFrame:
+    """The rows of the tables that hold several components; no pair is left to find in the others."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("key")
+    return rows.join(mixed, "key", "left_semi")
+
+
 def pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): the classes of a table that are in different components so far and whose sizes fit."""
-    other = rows.select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+    other = rows.select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"), F.col("label").alias("bl"))
     apart = (F.col("c") < F.col("b")) & (F.col("label") != F.col("bl"))
-    return rows.join(other, "key").filter(apart & fits("n", "bn", percent)).select(F.col("c").alias("a"), "b").distinct()
+    return rows.join(other, "key").filter(apart & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent)).select(F.col("c").alias("a"), "b").distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int, side: int) -> DataFrame:
     """(c, label) of every class with a confirmed link."""
-    tables = kept_table(in_tables(kept_table(shared_keys(classes, side), "shared")), "tables")
+    shared = kept_table(shared_keys(classes, side), "shared")
+    both = shared.select("c", F.lit(True).alias("as_a"), F.lit(True).alias("as_b"))
+    own = own_shingles(whole_sets(docs, classes, both, id_col, text_col, size))
+    tables = kept_table(in_tables(kept_table(within_reach(shared, own, percent), "possible")), "tables")
 
     def links_of(found: DataFrame) -> DataFrame:
         pairs = kept_table(found, "pairs")
@@ -115,7 +143,7 @@ def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size
 
     joined = components(links_of(central_pairs(tables, percent)))
     apart = kept_table(tables.join(joined, "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
-    further = links_of(pairs_apart(apart, percent))
+    further = links_of(pairs_apart(kept_table(mixed_tables(apart), "mixed"), percent))
     return components(joined.filter("c <> label").select(F.col("c").alias("a"), F.col("label").alias("b")).union(further))
 
 

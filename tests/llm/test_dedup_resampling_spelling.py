@@ -255,3 +255,17 @@ def test_queries_read_whole_tables(spark):
     assert Counter(map(tuple, QUERIES["op12_importance"](spark, folder).collect())) == Counter(plain_resample(docs, target))
     found = QUERIES["op13_spelling"](spark, folder).select("word", "n", "n_near", "form", "form_n", "root")
     assert {tuple(r) for r in found.collect()} == plain_variants(docs, 199)
+
+
+def test_copies_changed_too_much_do_not_meet(spark):
+    """Pairs and tables of the minhash operator hold no class whose own shingles rule a link out, and no table of one component."""
+    sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(9))), (3, [*range(6), 90, 91, 92, 93]), (3, [*range(6), 90, 91, 92, 93]), (4, [*range(6), 80, 81, 82, 83])], "c bigint, grams array<bigint>")
+    own = {r.c: r.own for r in minhash.own_shingles(sets).collect()}
+    assert own == {1: 1, 3: 4, 4: 4}
+    shared = sets.distinct().selectExpr("c", "size(grams) n")
+    near = minhash.within_reach(shared, spark.createDataFrame(list(own.items()), "c bigint, own bigint"), 80)
+    assert {(r.c, r.common) for r in near.collect()} == {(1, 9), (2, 9)}
+    rows = spark.createDataFrame([(7, 1, 10, 9, 1), (7, 2, 10, 9, 2), (7, 5, 10, 8, 5), (8, 1, 10, 9, 1), (8, 3, 10, 9, 1)], "key bigint, c bigint, n bigint, common bigint, label bigint")
+    mixed = minhash.mixed_tables(rows)
+    assert {r.key for r in mixed.collect()} == {7}
+    assert {tuple(r) for r in minhash.pairs_apart(mixed, 80).collect()} == {(1, 2)}
