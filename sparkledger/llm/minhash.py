@@ -10,7 +10,9 @@ A table key can only be shared if both of its sub-keys are, so sub-keys that a s
 a text without a relative costs its sub-keys only. Of the classes left, those with so many shingles of their own, held by no other of them, that
 no link is possible are dropped too, and pairs are bounded by what either can share: the copies of a text that were changed too much to be
 linked would all meet each other. Equal sets are one class. In a table each class first meets the most central one, whose
-sub-keys are shared most widely; a group of many copies gives a row per copy. Classes still apart then meet all others of their table.
+sub-keys are shared most widely; a group of many copies gives a row per copy. Of the classes that are still apart from another of a table, two meet if
+they share one of their rarest shingles at places that leave enough behind them for a link, and a table: copies of one text that are no copies
+of each other share its shingles, but each has rarer ones before them. Both are exact, so no pair of a table that can be linked is lost.
 """
 
 from __future__ import annotations
@@ -120,11 +122,52 @@ def mixed_tables(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
-def pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the classes of a table that are in different components so far and whose sizes fit."""
-    other = rows.select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"), F.col("label").alias("bl"))
-    apart = (F.col("c") < F.col("b")) & (F.col("label") != F.col("bl"))
-    return rows.join(other, "key").filter(apart & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent)).select(F.col("c").alias("a"), "b").distinct()
+def size_band(n: Column) -> Column:
+    """A number that grows with ``n``: its first six bits and how many follow, so a band spans a 32nd of its sizes at most."""
+    rest = F.greatest(F.length(F.bin(n)) - 6, F.lit(0))
+    return rest * 32 + F.call_function("shiftright", n, rest)
+
+
+def rarest_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, c, n, label, common) of each class as the larger and as the smaller one of a pair, for the shingles that can be the first of a link.
+
+    ``sets`` has (c, n, label, grams). All shingles are ordered by the classes that hold them, the rarest first; ``common`` counts a class's shingles from this one on.
+    The larger of two linked sets has fewer before the first shared one the nearer their sizes are, so it comes to the bands of sizes that its
+    place allows, the smaller one to its own band. Rows of the label that most holders of a shingle have meet those of others only.
+    """
+    each = sets.select("c", "n", "label", F.explode("grams").alias("gram"))
+    of = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("_count")).groupBy("gram")
+    held = of.agg(F.sum("_count").alias("held"), F.max_by("label", "_count").alias("lead"), (F.min("label") != F.max("label")).alias("mixed")).filter("held > 1")
+    known = each.join(held, "gram").groupBy("c", "n", "label").agg(F.sort_array(F.collect_list(F.struct("held", "gram", "lead", "mixed"))).alias("shared"))
+    # Shingles of one class stand before all others.
+    placed = known.select("c", "n", "label", F.size("shared").alias("_shared"), F.posexplode("shared").alias("_at", "_of"))
+    rows = placed.select("c", "n", "label", (F.col("_shared") - F.col("_at")).cast("bigint").alias("common"), "_of.gram", (F.col("label") != F.col("_of.lead")).alias("other"), "_of.mixed")
+    first = kept_table(rows.filter(F.col("mixed") & (100 * F.col("common") >= percent * F.col("n"))).drop("mixed"), "rarest")
+    least = F.ceil(percent * F.col("n") / 100.0 - 1e-9)
+    most = F.least(F.col("n"), F.floor((F.col("common") * (100 + percent) - percent * F.col("n")) / float(percent) + 1e-9))
+    key = lambda band, kind: F.xxhash64("gram", band, kind).alias("key")
+    rest = ["c", "n", "label", "common"]
+    bands = first.filter(most >= least).select("*", F.explode(F.sequence(size_band(least), size_band(most))).alias("band"))
+    larger = bands.select(key("band", "other"), *rest)
+    own = first.filter((100 + percent) * F.col("common") >= 2 * percent * F.col("n"))
+    kinds = F.explode(F.when(F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    smaller = own.select("*", size_band(F.col("n")).alias("band"), kinds.alias("kind")).select(key("band", "kind"), *rest)
+    return larger, smaller
+
+
+def pairs_apart(rows: DataFrame, percent: int, smaller: DataFrame | None = None) -> DataFrame:
+    """(a, b): the classes of a key, or those of ``rows`` with those of ``smaller``, that are in different components so far and whose sizes fit."""
+    other = (rows if smaller is None else smaller).select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"), F.col("label").alias("bl"))
+    once = F.col("c") < F.col("b") if smaller is None else F.col("n") >= F.col("bn")
+    met = rows.join(other, "key").filter(once & (F.col("label") != F.col("bl")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
+    return met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+
+
+def in_one_table(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs that meet in a table: they share a first and a second sub-key."""
+    side = lambda x: shared.select(F.col("c").alias(x), F.col("firsts").alias(f"{x}firsts"), F.col("seconds").alias(f"{x}seconds"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.arrays_overlap("afirsts", "bfirsts") & F.arrays_overlap("aseconds", "bseconds")).select("a", "b")
 
 
 def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int, side: int) -> DataFrame:
@@ -132,18 +175,25 @@ def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size
     shared = kept_table(shared_keys(classes, side), "shared")
     both = shared.select("c", F.lit(True).alias("as_a"), F.lit(True).alias("as_b"))
     own = own_shingles(whole_sets(docs, classes, both, id_col, text_col, size))
-    tables = kept_table(in_tables(kept_table(within_reach(shared, own, percent), "possible")), "tables")
+    possible = kept_table(within_reach(shared, own, percent), "possible")
+    tables = kept_table(in_tables(possible), "tables")
 
-    def links_of(found: DataFrame) -> DataFrame:
-        pairs = kept_table(found, "pairs")
-        sets = kept_table(whole_sets(docs, classes, wanted_classes(pairs), id_col, text_col, size), "grams")
-        links = kept_table(verified(pairs, sets, percent), "links")
-        dropped(sets, pairs)
-        return links
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return whole_sets(docs, classes, wanted, id_col, text_col, size)
 
-    joined = components(links_of(central_pairs(tables, percent)))
+    pairs = kept_table(central_pairs(tables, percent), "pairs")
+    sets = kept_table(sets_of(wanted_classes(pairs)), "grams")
+    joined = components(kept_table(verified(pairs, sets, percent), "links"))
+    dropped(sets, pairs)
     apart = kept_table(tables.join(joined, "c", "left").withColumn("label", F.coalesce("label", "c")), "apart")
-    further = links_of(pairs_apart(kept_table(mixed_tables(apart), "mixed"), percent))
+    mixed = kept_table(mixed_tables(apart).select("c", "n", "label").distinct(), "mixed")
+    dropped(apart, tables)
+    read = sets_of(mixed.select("c", F.lit(True).alias("as_a"), F.lit(True).alias("as_b"))).select("c", "grams")
+    sets = kept_table(read.join(mixed, "c").dropDuplicates(["c"]), "grams")
+    larger, smaller = rarest_shingles(sets, percent)
+    pairs = kept_table(in_one_table(pairs_apart(larger, percent, smaller), possible), "pairs")
+    further = kept_table(verified(pairs, sets.join(wanted_classes(pairs), "c"), percent), "links")
+    dropped(sets, pairs)
     return components(joined.filter("c <> label").select(F.col("c").alias("a"), F.col("label").alias("b")).union(further))
 
 

@@ -269,3 +269,53 @@ def test_copies_changed_too_much_do_not_meet(spark):
     mixed = minhash.mixed_tables(rows)
     assert {r.key for r in mixed.collect()} == {7}
     assert {tuple(r) for r in minhash.pairs_apart(mixed, 80).collect()} == {(1, 2)}
+
+
+def test_copies_of_one_text_do_not_all_meet(spark, monkeypatch):
+    """Copies of a text that are no copies of each other: the second round makes a few pairs for each at most, and loses no link."""
+    rng = random.Random(3)
+    base = words_of(rng, 150, 10**6).split()
+    rows = [(0, " ".join(base))]
+    for copy in range(1, 151):  # five edits each, one of them made by other copies too
+        edited, places = list(base), rng.sample(range(5, 145, 5), 7)
+        for place in places[:4]:
+            edited[place] = f"own{copy}x{place}"
+        edited[places[4]] = f"often{rng.randrange(3)}"
+        rows.append((copy, " ".join(edited)))
+        if copy % 15 == 0:  # a chain of three that hangs together and not with the first text
+            for step, place in enumerate(places[5:]):
+                edited[place] = f"own{copy}y{place}"
+                rows.append((1000 * (step + 1) - copy, " ".join(edited)))
+    made, kept = [], minhash.kept_table
+
+    def counted(df, name):
+        table = kept(df, name)
+        made.extend([table.count()] if name == "pairs" else [])
+        return table
+
+    monkeypatch.setattr(minhash, "kept_table", counted)
+    docs = spark.createDataFrame([*rows, *rows[-40:]], "doc_id bigint, text string").repartition(4)
+    out = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.deduplicate(docs, size=4).collect()}
+    assert out == {(key, n, component) for (key, _), (n, component) in zip(rows, plain_components(rows, 4, 80), strict=True)}
+    assert len({component for _, _, component in out}) == 151
+    assert len(made) == 2 and 20 <= made[1] <= 3 * len(rows)
+
+
+def test_rarest_shingles_meet_for_every_link(spark):
+    """All links between labels are found by the rarest shingles, whatever the sizes of the two sets."""
+    rng = random.Random(7)
+    sets, base = {}, list(range(0, 600))
+    for c in range(1, 121):
+        n = rng.randrange(60, 130) if c % 2 else rng.randrange(2, 40)
+        start = rng.randrange(0, 20)
+        grams = set(base[start : start + n])
+        for _ in range(rng.randrange(n // 7 + 1)):
+            grams.discard(rng.choice(sorted(grams))) if rng.random() < 0.6 and len(grams) > 1 else grams.add(1000 + rng.randrange(400))
+        sets[c] = grams
+    rows = spark.createDataFrame([(c, len(g), c % 7, sorted(g)) for c, g in sets.items()], "c bigint, n bigint, label bigint, grams array<bigint>")
+    links = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    larger, smaller = minhash.rarest_shingles(rows, 80)
+    found = {tuple(r) for r in minhash.pairs_apart(larger, 80, smaller).collect()}
+    assert len(links) > 50 and links <= found and len(found) < 60 * 119
+    bands = [r.band for r in spark.range(1, 3000).select(minhash.size_band(F.col("id")).alias("band")).collect()]
+    assert bands == sorted(bands) and bands[:63] == list(range(1, 64)) and len(set(bands)) < 300
