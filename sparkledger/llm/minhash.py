@@ -13,6 +13,9 @@ linked would all meet each other. Equal sets are one class. In a table each clas
 sub-keys are shared most widely; a group of many copies gives a row per copy. Of the classes that are still apart from another of a table, two meet if
 they share one of their rarest shingles at places that leave enough behind them for a link, and a table: copies of one text that are no copies
 of each other share its shingles, but each has rarer ones before them. Both are exact, so no pair of a table that can be linked is lost.
+
+Rows made by exploding, and what is counted of them, are merged and never broadcast: Spark takes them for no more bytes than the file of the rows they
+come from, a row of up to ``SIDE``^2 table keys.
 """
 
 from __future__ import annotations
@@ -76,7 +79,7 @@ def shared_keys(classes: DataFrame, side: int) -> DataFrame:
     """(c, n, firsts, seconds, reach): the sub-keys of each class that another class has too, and how many classes they reach."""
     rows = classes.select("c", "n", F.posexplode("keys").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    met = rows.join(shared, "key").groupBy("c", "n")
+    met = rows.join(shared.hint("merge"), "key").groupBy("c", "n")
     of = lambda half: F.collect_list(F.when(half, F.col("key")))
     made = met.agg(of(F.col("at") < side).alias("firsts"), of(F.col("at") >= side).alias("seconds"), F.sum("held").alias("reach"))
     return made.filter((F.size("firsts") > 0) & (F.size("seconds") > 0))
@@ -105,21 +108,21 @@ def in_tables(shared: DataFrame) -> DataFrame:
     both = shared.select(*rest, "seconds", F.explode("firsts").alias("first")).select(*rest, "first", F.explode("seconds").alias("second"))
     rows = both.select(F.xxhash64("first", "second").alias("key"), *rest)
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
-    return rows.join(many, "key", "left_semi")
+    return rows.join(many.hint("merge"), "key", "left_semi")
 
 
 def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class of a table with the table's most central one, ``b``."""
     rank = F.struct((-F.col("reach")).alias("r"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"))
     leaders = rows.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead.b", "lead.bn", "lead.bcommon")
-    met = rows.join(leaders, "key").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
+    met = rows.join(leaders.hint("merge"), "key").filter((F.col("c") != F.col("b")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
     return met.select(F.col("c").alias("a"), "b").distinct()
 
 
 def mixed_tables(rows: DataFrame) -> DataFrame:
     """The rows of the tables that hold several components; no pair is left to find in the others."""
     mixed = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("key")
-    return rows.join(mixed, "key", "left_semi")
+    return rows.join(mixed.hint("merge"), "key", "left_semi")
 
 
 def size_band(n: Column) -> Column:
@@ -138,7 +141,7 @@ def rarest_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     each = sets.select("c", "n", "label", F.explode("grams").alias("gram"))
     of = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("_count")).groupBy("gram")
     held = of.agg(F.sum("_count").alias("held"), F.max_by("label", "_count").alias("lead"), (F.min("label") != F.max("label")).alias("mixed")).filter("held > 1")
-    known = each.join(held, "gram").groupBy("c", "n", "label").agg(F.sort_array(F.collect_list(F.struct("held", "gram", "lead", "mixed"))).alias("shared"))
+    known = each.join(held.hint("merge"), "gram").groupBy("c", "n", "label").agg(F.sort_array(F.collect_list(F.struct("held", "gram", "lead", "mixed"))).alias("shared"))
     # Shingles of one class stand before all others.
     placed = known.select("c", "n", "label", F.size("shared").alias("_shared"), F.posexplode("shared").alias("_at", "_of"))
     rows = placed.select("c", "n", "label", (F.col("_shared") - F.col("_at")).cast("bigint").alias("common"), "_of.gram", (F.col("label") != F.col("_of.lead")).alias("other"), "_of.mixed")
@@ -159,7 +162,7 @@ def pairs_apart(rows: DataFrame, percent: int, smaller: DataFrame | None = None)
     """(a, b): the classes of a key, or those of ``rows`` with those of ``smaller``, that are in different components so far and whose sizes fit."""
     other = (rows if smaller is None else smaller).select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"), F.col("label").alias("bl"))
     once = F.col("c") < F.col("b") if smaller is None else F.col("n") >= F.col("bn")
-    met = rows.join(other, "key").filter(once & (F.col("label") != F.col("bl")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
+    met = rows.join(other.hint("merge"), "key").filter(once & (F.col("label") != F.col("bl")) & fits("n", "bn", percent) & can_link("common", "n", "bcommon", "bn", percent))
     return met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
 
 

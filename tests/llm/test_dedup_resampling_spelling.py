@@ -319,3 +319,25 @@ def test_rarest_shingles_meet_for_every_link(spark):
     assert len(links) > 50 and links <= found and len(found) < 60 * 119
     bands = [r.band for r in spark.range(1, 3000).select(minhash.size_band(F.col("id")).alias("band")).collect()]
     assert bands == sorted(bands) and bands[:63] == list(range(1, 64)) and len(set(bands)) < 300
+
+
+def test_minhash_sends_no_exploded_rows(spark, monkeypatch):
+    """Table keys and shingles are many more bytes than the rows that Spark guesses them by, so their joins are merged even where those look small."""
+    written = minhash.kept_table  # a table of a file, so that its size is known
+    monkeypatch.setattr(minhash, "kept_table", lambda df, name: df)
+    classes = written(spark.createDataFrame([(c, 10, [1, 2, 3, 10 * c]) for c in (1, 2, 3)], "c bigint, n bigint, keys array<bigint>"), "classes")
+    shared = minhash.shared_keys(classes, 2)
+    tables = minhash.in_tables(shared.withColumn("common", F.col("n")))
+    labelled = tables.withColumn("label", F.col("c"))
+    sets = written(spark.createDataFrame([(c, 10, c, [*range(9), 90 + c]) for c in (1, 2, 3)], "c bigint, n bigint, label bigint, grams array<bigint>"), "sets")
+    larger, smaller = minhash.rarest_shingles(sets, 80)
+    made = {
+        "shared": shared, "tables": tables, "central": minhash.central_pairs(tables, 80), "mixed": minhash.mixed_tables(labelled), "larger": larger,
+        "smaller": smaller, "apart": minhash.pairs_apart(labelled, 80), "met": minhash.pairs_apart(larger, 80, smaller),
+    }
+    for name, df in made.items():
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not [x for x in plan if "BroadcastHashJoin" in x and ("key#" in x or "gram#" in x)], name
+    assert {(r.c, tuple(sorted(r.firsts)), tuple(r.seconds)) for r in shared.collect()} == {(c, (1, 2), (3,)) for c in (1, 2, 3)}
+    assert {(r.a, r.b) for r in made["central"].collect()} == {(2, 1), (3, 1)}
+    assert {(r.a, r.b) for r in made["met"].collect()} == {(1, 2), (1, 3), (2, 3)}
