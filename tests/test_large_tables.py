@@ -221,3 +221,25 @@ def test_history_is_read_once_for_items(spark):
     found = history.fuzzy_history(spark.createDataFrame([("s", "BESTREDPEN", ""), ("s", "服务费", ""), ("t", "X", "")], "scope string, key string, text_id string"), ranked)
     assert "LogicalRDD" not in optimized(found)
     assert {r.key: r.project_name for r in found.collect()} == {"BESTREDPEN": "red pen"}
+
+
+def test_apply_history_sends_no_history(spark, monkeypatch, tmp_path):
+    """Files of history hold it in a twentieth of its bytes, so neither it nor the large tables that it is read from are sent, however small they look."""
+    from sparkledger.functions.kept import kept_table
+    from sparkledger.plans import views
+
+    row = ("s1", "steel ring", "SMALL", "101", "13%", "箱", "B1", "2", 1, 1, "p1")
+    rows = spark.createDataFrame([row, (*row[:1], "red bolt", *row[2:-1], "p2")], "scope string, project_name string, tax_category string, tax_code string, tax_rate string, unit string, specification string, quantity string, line_count bigint, copies bigint, pos string")
+    asks = [("s1", "t", 1, "steel ring"), ("s1", "t", 2, "best red bolt"), ("s1", "t", 3, "服务费"), ("s2", "t", 4, "steel ring"), ("s1", "t", 5, "")]
+    lines = spark.createDataFrame([(*a, "", "", "", "", "", "", "") for a in asks], "scope string, text_id string, line_no int, project_name string, tax_rate string, tax_category string, specification string, unit string, quantity string, tax_code string, coding_reference string")
+    ranked = history.ranked_rows(kept_table(rows, "rows"), ["pos"])
+    assert not sent(ranked, "scope", "pos")
+    out = history.apply_history(lines, ranked)
+    assert not [x for x in sent(out, "scope", "key", "_key", "text_id", "p") if "_gram#" not in x]  # anchors of few names are sent
+    assert {(r.line_no, r.project_name, r.tax_code) for r in out.collect()} == {(1, "steel ring", "101"), (2, "best red bolt", "101"), (3, "服务费", ""), (4, "steel ring", ""), (5, "", "")}
+    spark.createDataFrame([(1, "steel ring")], "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    read = spark.read.parquet(f"{tmp_path}/part.parquet")
+    join = lambda: spark.range(3).join(views.merged_if_large(read), F.col("id") == F.col("p_partkey"))
+    assert sent(join(), "p_partkey")
+    monkeypatch.setattr(views, "SENT_BYTES", 0)
+    assert not sent(join(), "p_partkey") and [r.p_name for r in join().collect()] == ["steel ring"]
