@@ -243,3 +243,45 @@ def test_apply_history_sends_no_history(spark, monkeypatch, tmp_path):
     assert sent(join(), "p_partkey")
     monkeypatch.setattr(views, "SENT_BYTES", 0)
     assert not sent(join(), "p_partkey") and [r.p_name for r in join().collect()] == ["steel ring"]
+
+
+def test_cut_pointers_ask_only_lines_that_a_chain_can_reach(spark):
+    """A target is looked for where the targets before it and itself end, not at every pair of lines that lie it apart."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    lines, want = [], {}
+    for i in range(40):
+        amounts = [rng.choice([0.0, 0.01, 0.5, 1.0, 1.0, 2.0, 7.25]) for _ in range(rng.randrange(2, 30))]
+        cuts = sorted(rng.sample(range(1, len(amounts)), min(len(amounts) - 1, rng.randrange(1, 6)))) if i % 5 else [1]
+        lines += [(f"i{i}", n, a) for n, a in enumerate(amounts)]
+        want[f"i{i}"] = [round(sum(amounts[a:b]) + rng.choice([-0.01, 0.0, 0.0, 0.01]), 2) for a, b in zip([0, *cuts], [*cuts, len(amounts)], strict=True)]
+    targets = [(i, k, t) for i, ts in want.items() for k, t in enumerate(ts)] + [("i3", 1, 1.0), ("i4", 0, None), ("i4", None, 1.0), ("i6", -1, 5.0)]
+    cents = F.round(F.col("t").cast("decimal(28,2)") * 100).cast("decimal(38,0)").alias("cents")
+    asked = spark.createDataFrame(targets, "invoice_no string, k int, t double").select("invoice_no", "k", cents)
+    runs, sums = {}, []
+    for i, n, a in lines:
+        runs[i] = runs.get(i, 0) + round(a * 100)
+        sums.append((i, n, runs[i]))
+    table = spark.createDataFrame(sums, "invoice_no string, line_no bigint, run bigint").withColumn("run", F.col("run").cast("decimal(38,0)"))
+    pointers = matching.cut_pointers(table, asked)
+    # Every chain of cuts from the first line, step by step over all pairs.
+    reached = {(i, 0, None, 0) for i in want}
+    plain, place = set(), {(i, n): r for i, n, r in sums}
+    while reached:
+        further = set()
+        for i, k, start, run in reached:
+            for t in {round(x * 100) for j, q, x in targets if j == i and q == k and x is not None}:
+                stops = [n for j, n, r in sums if j == i and abs(r - run - t) <= 1 and (start is None or n > start)]
+                further |= {(i, k, start, n) for n in stops[:1]}
+        least = {}
+        for i, k, start, n in further:
+            least[i, k, start] = min(n, least.get((i, k, start), n))
+        fresh = {(*key, n) for key, n in least.items()} - plain
+        plain |= fresh
+        reached = {(i, k + 1, n, place[i, n]) for i, k, _, n in fresh}
+    found = {(r.invoice_no, r.k, r.start, r.stop) for r in pointers.collect()}
+    assert len(plain) > 60 and plain <= found
+    repeated = spark.createDataFrame([("a", n, 100 * (n + 1)) for n in range(200)], "invoice_no string, line_no bigint, run bigint").withColumn("run", F.col("run").cast("decimal(38,0)"))
+    three = spark.createDataFrame([("a", k, 6000 if k < 3 else 2000) for k in range(4)], "invoice_no string, k int, cents int").withColumn("cents", F.col("cents").cast("decimal(38,0)"))
+    assert matching.cut_pointers(repeated, three).count() == 4
