@@ -43,6 +43,18 @@ def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.select(*keys, "_row.*").select(*df.columns)
 
 
+def least_by(df: DataFrame, keys: list[str], order: list[str], count_as: str | None = None) -> DataFrame:
+    """:func:`first_by` for columns ``order`` of ``df``, with each value held once on its way: the columns of the order are part of the row.
+
+    Rows of equal order fall by their other columns. Rows with a map or a variant cannot be compared and go by :func:`first_by`.
+    """
+    if any(kind in df.schema.simpleString() for kind in ("map<", ":variant", "<variant")):
+        return first_by(df, keys, order, count_as)
+    row = F.min(F.struct(*order, *[c for c in _names(df, keys) if c not in order])).alias("_row")
+    counted, extra = ([F.count(F.lit(1)).alias(count_as)], [count_as]) if count_as else ([], [])
+    return df.groupBy(*keys).agg(row, *counted).select(*keys, "_row.*", *extra).select(*df.columns, *extra)
+
+
 def digest(values: list[Column]) -> Column:
     """128 bits that stand for a list of values; equal for equal lists only, up to collisions. Each value goes in with its length, so none runs into the next."""
     text = [v.cast("string") for v in values]

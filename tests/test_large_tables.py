@@ -285,3 +285,45 @@ def test_cut_pointers_ask_only_lines_that_a_chain_can_reach(spark):
     repeated = spark.createDataFrame([("a", n, 100 * (n + 1)) for n in range(200)], "invoice_no string, line_no bigint, run bigint").withColumn("run", F.col("run").cast("decimal(38,0)"))
     three = spark.createDataFrame([("a", k, 6000 if k < 3 else 2000) for k in range(4)], "invoice_no string, k int, cents int").withColumn("cents", F.col("cents").cast("decimal(38,0)"))
     assert matching.cut_pointers(repeated, three).count() == 4
+
+
+def test_least_by_holds_each_value_once(spark):
+    from sparkledger.functions import skew
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["f1", "f2", None]), rng.choice([1, 2, 3, None]), f"x{n}") for n in range(60)]
+    df = spark.createDataFrame(rows, "k string, file string, n int, value string")
+    least = skew.least_by(df, ["k"], ["file", "n"], count_as="copies")
+    assert least.columns == ["k", "file", "n", "value", "copies"]
+    top = lambda r: ((r[1] is not None, r[1] or ""), (r[2] is not None, r[2] or 0), r[3])
+    want = {(*min((r for r in rows if r[0] == k), key=top), sum(r[0] == k for r in rows)) for k in ("a", "b", None)}
+    assert {tuple(r) for r in least.collect()} == want
+    mapped = df.withColumn("m", F.create_map("k", "n")).filter("k is not null")
+    assert skew.least_by(mapped, ["k"], ["file", "n"]).count() == 2
+
+
+def test_dedupe_history_reads_both_exports_at_once(spark, tmp_path):
+    from datetime import datetime
+
+    from sparkledger.operators import profiles
+    from sparkledger.plans import views
+
+    day = datetime(1996, 9, 13)
+    tables = {
+        "lineitem": ([(o, 1, 1, n, 2.0, 10.0 * n, 0.1, 0.05, "N", "O", day) for o in (1, 2, 3) for n in (1, 1, 2)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(1, 1, "F"), (2, 1, "O"), (3, 1, None)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string"), "customer": ([(1, "c")], "c_custkey bigint, c_name string"),
+        "supplier": ([(1, "s")], "s_suppkey bigint, s_name string"), "part": ([(1, "steel ring", "Brand#7", "LARGE", 1, 9.0)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    both = views.view(spark, str(tmp_path), "hist_exports")
+    for name in tables:
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").createOrReplaceTempView(name)
+    stated = spark.sql(views.with_views("SELECT * FROM hist_exports"))
+    assert both.schema.simpleString() == stated.schema.simpleString() and both.count() == 12
+    assert both.exceptAll(stated).isEmpty() and stated.exceptAll(both).isEmpty()
+    found = profiles.dedupe_history(both, columns=("source_file", "line_key", "seller_name"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey#") == 1
+    assert "min_by" not in plan
+    assert sorted((r.source_file, r.line_key[:12], r.copies) for r in found.collect()) == [("export_1.csv", f"{o:012d}", c) for o, cs in ((1, (2, 4)), (2, (1, 2)), (3, (1, 2))) for c in cs]
