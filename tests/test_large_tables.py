@@ -327,3 +327,23 @@ def test_dedupe_history_reads_both_exports_at_once(spark, tmp_path):
     assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey#") == 1
     assert "min_by" not in plan
     assert sorted((r.source_file, r.line_key[:12], r.copies) for r in found.collect()) == [("export_1.csv", f"{o:012d}", c) for o, cs in ((1, (2, 4)), (2, (1, 2)), (3, (1, 2))) for c in cs]
+
+
+def test_table_to_lines_sends_cells_once(spark):
+    """A header is told where its row is read; only places go to the shuffle for the first rows of a sheet, and what all lines have alike does not go at all."""
+    from sparkledger.operators import extract
+
+    head, line = ["序号", "项目名称", "数量", "含税总价（元）"], ["1", "螺栓", "2", "10.5"]
+    rows = [("a", 0, n, ["x", None, "合计", "螺栓"]) for n in range(5)] + [("a", 0, 5, head), ("a", 0, 6, line), ("a", 0, 7, line), ("a", 0, 8, head), ("a", 0, None, head), (None, 0, 1, head), (None, 0, 2, line)]
+    rows += [("late", 0, n, None if n % 2 else ["", "-"]) for n in range(50)] + [("late", 0, 50, head), ("late", 0, 51, line)]
+    rows += [("last", 0, n, ["", "-"]) for n in range(49)] + [("last", 0, 49, head), ("last", 0, 50, line), ("last", 1, 1, line)]
+    rows += [("none", 0, None, ["-"]) for n in range(50)] + [("none", 0, 1, head), ("none", 0, 2, line)]  # rows without a place stand first
+    df = spark.createDataFrame(rows, "source string, sheet int, row bigint, cells array<string>")
+    found = extract.table_to_lines(df)
+    assert {(r.source, r.row, r.project_name, r.quantity, r.amount_with_tax, r.tax_code, r.coding_reference[:5]) for r in found.collect()} == {(s, n, "螺栓", "2", "10.50", "", "Excel") for s, n in (("a", 6), ("last", 50))}
+    assert {r.source for r in extract.table_to_lines(df, None).collect()} == {"a", "late", "last", "none"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "WindowGroupLimit" in x or "Window [" in x]
+    assert windows and not [x for x in windows if "cells" in x or " h#" in x] and "tokens" not in plan.split("Window [")[-1]
+    aggregates = [x for x in plan.split("\n") if "Aggregate [" in x and "project_name" in x]
+    assert aggregates and not [x for x in aggregates if "coding_reference" in x.split("min(struct")[-1] or "tax_code" in x.split("min(struct")[-1]]
