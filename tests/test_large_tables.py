@@ -347,3 +347,16 @@ def test_table_to_lines_sends_cells_once(spark):
     assert windows and not [x for x in windows if "cells" in x or " h#" in x] and "tokens" not in plan.split("Window [")[-1]
     aggregates = [x for x in plan.split("\n") if "Aggregate [" in x and "project_name" in x]
     assert aggregates and not [x for x in aggregates if "coding_reference" in x.split("min(struct")[-1] or "tax_code" in x.split("min(struct")[-1]]
+
+
+def test_profile_rows_reads_buyers_and_items_once(spark):
+    """The plan behind the buyers and items ends at a table of what is asked for; their readers do not go through the history again."""
+    items = spark.createDataFrame([("s", "1", "steel ring", "SMALL", "101", "13%", "", 2, 7), ("t", "2", "bolt", "SMALL", "102", "6%", "箱", 1, 7)], "seller_name string, seller_tax_id string, project_name string, tax_category string, tax_code string, tax_rate string, unit string, line_count bigint, marker int")
+    buyers = spark.createDataFrame([("s", "1", b, f"id {b}", 7) for b in "abb"] + [("t", "2", "c", None, 7), (None, "2", "d", "id d", 7)], "seller_name string, seller_tax_id string, buyer_name string, buyer_tax_id string, marker int")
+    requests = spark.createDataFrame([("r1", "s", "", ""), ("r2", "s", "", "id a"), ("r3", "1", "b", ""), ("r4", "s", "x", ""), ("r5", "2", "", "")], "scope string, seller string, buyer_name string, buyer_tax_id string")
+    rows = history.profile_rows(requests, items.filter("marker = 7"), buyers.filter("marker = 7"))
+    assert "marker" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.scope, r.part, r.project_name, r.unit, r.quantity, r.line_count, r.copies, r.buyer_name) for r in rows.collect())
+    item = lambda scope, copies, name="steel ring", unit="项", count=2: (scope, 0, name, unit, "1", count, copies, "")
+    only = lambda scope, buyer: (scope, 1, "", "", "", 1, 1, buyer)
+    assert got == sorted([item("r1", 3), item("r2", 1), item("r3", 2), item("r4", 1), item("r5", 1, "bolt", "箱", 1), *[only("r1", b) for b in "abb"], only("r2", "a"), only("r3", "b"), only("r3", "b"), only("r5", "c")])
