@@ -360,3 +360,20 @@ def test_profile_rows_reads_buyers_and_items_once(spark):
     item = lambda scope, copies, name="steel ring", unit="项", count=2: (scope, 0, name, unit, "1", count, copies, "")
     only = lambda scope, buyer: (scope, 1, "", "", "", 1, 1, buyer)
     assert got == sorted([item("r1", 3), item("r2", 1), item("r3", 2), item("r4", 1), item("r5", 1, "bolt", "箱", 1), *[only("r1", b) for b in "abb"], only("r2", "a"), only("r3", "b"), only("r3", "b"), only("r5", "c")])
+
+
+def test_context_rules_read_the_lines_once(spark):
+    """Whether a text is asked for is told by spellings and written; its readers do not go through all lines again."""
+    from sparkledger.operators import coding
+
+    rules = spark.createDataFrame([(1, "e1", "steel goods", "metal", "101", "13%", "rules", "steel"), (1, "e2", "bolt goods", "metal", "102", "6%", "rules", "bolt")], "tier int, entry_id string, normalized_invoice_name string, tax_category string, tax_code string, tax_treatment_or_rate string, source_label string, raw_alias string")
+    names = [None, "", "服务费", "a1", "一个很长的材料名称", " ", "x|y"]
+    lines = spark.createDataFrame([(i, f"c{i}", n, 7) for i, n in enumerate(names)] + [(9, None, None, 7)], "line_no int, context_id string, project_name string, marker int").filter("marker = 7")
+    contexts = spark.createDataFrame([(f"c{i}", "we bought steel here") for i in range(7)] + [("c8", "bolt"), (None, "bolt")], "context_id string, context_text string")
+    aliases = coding.alias_table(rules)
+    found = coding.match_rules(lines, rules, contexts)
+    assert {(r.line_no, r.rule.entry_id if r.rule else None) for r in found.collect()} == {(0, "e1"), (1, "e1"), (2, "e1"), (3, "e1"), (4, None), (5, "e1"), (6, "e1"), (9, None)}
+    spelt = lines.select("project_name").distinct()
+    by_context = coding._context_rules(lines, spelt, contexts, aliases, "context_id")
+    assert {r.context_id for r in by_context.collect()} == {f"c{i}" for i in (0, 1, 2, 3, 5, 6)}
+    assert "marker" not in by_context._jdf.queryExecution().optimizedPlan().toString()
